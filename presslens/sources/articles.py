@@ -34,8 +34,7 @@ def normalise_headers(df: DataFrame) -> DataFrame:
 
 def label_int(col: Column, null_as_zero: bool = False) -> Column:
     """Label as int; unreadable values become null, or 0 on request."""
-    label = F.expr("try_cast({} as double)".format(col)) if isinstance(col, str) else col.try_cast("double")
-    label = label.cast("int")
+    label = col.try_cast("double").try_cast("int")
     return F.coalesce(label, F.lit(0)) if null_as_zero else label
 
 
@@ -49,7 +48,7 @@ def apply_null_policy(df: DataFrame, policy: str, required: tuple[str, ...] = ("
     if policy == "drop_any":
         return df.dropna("any")
     if policy == "drop_required":
-        return df.dropna("any", subset=list(require_columns(df, *required).columns and required))
+        return require_columns(df, *required).dropna("any", subset=list(required))
     if policy == "fill":
         filled = {c: blank_if_null(F.col(c)) for c in ("title", "content") if c in df.columns}
         if "label" in df.columns:
