@@ -163,6 +163,13 @@ def best_step(history: DataFrame, metric: str, split: str = "validation") -> Dat
     return rows.orderBy(F.col("value").desc_nulls_last(), "step").limit(1)
 
 
+def best_steps(history: DataFrame, split: str = "validation") -> DataFrame:
+    """``(metric, step, value)``: ``best_step`` of every metric, one aggregate."""
+    rows = history.where((F.col("split") == split) & F.col("value").isNotNull())
+    best = F.max(F.struct("value", (-F.col("step")).alias("back"))).alias("best")
+    return rows.groupBy("metric").agg(best).select("metric", (-F.col("best.back")).alias("step"), F.col("best.value").alias("value"))
+
+
 def history_by_split(history: DataFrame, metric: str) -> DataFrame:
     """``(step, train, validation)`` for one metric."""
     rows = history.where(F.col("metric") == metric)

@@ -93,6 +93,11 @@ class TfidfModel:
     def has_long_terms(self) -> bool:
         return any(k.startswith("#") for k in self.keys)
 
+    def index(self) -> DataFrame:
+        """``(term, term_index)`` for the positions in the sparse vectors."""
+        numbered = self.table.sparkSession.createDataFrame(list(enumerate(self.keys)), "term_index int, key string")
+        return self.table.join(numbered, "key").select("term", "term_index")
+
     def weights(self, df: DataFrame, text_col: str, out_col: str) -> DataFrame:
         """Add count x idf of ``text_col`` as a sparse vector, unnormalised."""
         words, counts = f"{out_col}_terms", f"{out_col}_counts"
@@ -117,7 +122,7 @@ def fit_tfidf(df: DataFrame, *text_cols: str, max_features: int = MAX_FEATURES)
     )
     idf_of = {r["key"]: r["idf"] for r in table.select("key", "idf").collect()}
     keys = list(counter.vocabulary)
-    return TfidfModel(table.drop("key"), n_docs, counter, keys, [idf_of[k] for k in keys])
+    return TfidfModel(table, n_docs, counter, keys, [idf_of[k] for k in keys])
 
 
 def pair_cosine(df: DataFrame, model: TfidfModel, left: str, right: str, out_col: str = "cos_sim") -> DataFrame:
@@ -138,18 +143,22 @@ def tfidf_norm(df: DataFrame, model: TfidfModel, text_col: str, normalised: bool
 
 
 def centroid(df: DataFrame, model: TfidfModel, text_col: str) -> DataFrame:
-    """Mean L2-normalised weight per known term that occurs, ``(term_index, mean_weight)``."""
+    """Mean L2-normalised weight per known term that occurs: ``(term, term_index, mean_weight)``.
+
+    Each task adds up its own rows first; at most one row per kept term and
+    task is shuffled.
+    """
     w = model.weights(df.select(text_col), text_col, "_w")
     n_rows = df.count()
     parts = sparse_parts(F.col("_w"))
-    length = sparse_norm(F.col("_w"))
     pairs = F.arrays_zip(parts["indices"].alias("i"), parts["values"].alias("v"))
-    return (
-        w.select(length.alias("_n"), F.explode_outer(pairs).alias("p"))
+    means = (
+        w.select(sparse_norm(F.col("_w")).alias("_n"), F.explode_outer(pairs).alias("p"))
         .where(F.col("p").isNotNull())
         .groupBy(F.col("p.i").alias("term_index"))
         .agg((F.sum(F.col("p.v") / F.col("_n")) / n_rows).alias("mean_weight"))
     )
+    return means.join(model.index(), "term_index").select("term", "term_index", "mean_weight")
 
 
 def centroid_cosine(df: DataFrame, model: TfidfModel, mean: DataFrame, text_col: str, out_col: str = "cos_tfidf_mean") -> DataFrame:

@@ -86,11 +86,16 @@ def detect_encodings(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_csv_detected(spark: SparkSession, paths: str | list[str], schema: T.StructType | None = None, multi_line: bool = True) -> DataFrame:
-    """Read files of unknown encodings: one scan per encoding found, united by name."""
+    """Read files of unknown encodings: one scan per encoding found, united by name.
+
+    A column ``encoding`` tells how each row was decoded.
+    """
     found: dict[str, list[str]] = {}
     for row in detect_encodings(spark, paths).collect():
         found.setdefault(row["encoding"], []).append(row["path"])
     if not found:
         raise ValueError(f"no files under {paths}")
-    parts = [read_csv(spark, files, enc, schema, multi_line) for enc, files in sorted(found.items())]
+    parts = [
+        read_csv(spark, files, enc, schema, multi_line).withColumn("encoding", F.lit(enc)) for enc, files in sorted(found.items())
+    ]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

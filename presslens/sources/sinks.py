@@ -13,7 +13,9 @@ def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:
     """CSV with a header and doubled quotes, one file per task."""
     if not encoding.upper().startswith("UTF-"):
         df.sparkSession.conf.set("spark.sql.legacy.javaCharsets", "true")
-    df.write.mode("overwrite").option("header", True).option("escape", '"').option("encoding", encoding).csv(path)
+    writer = df.write.mode("overwrite").option("header", True).option("escape", '"').option("encoding", encoding)
+    # Spark trims fields on writing unless told not to.
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
