@@ -32,11 +32,6 @@ def space_words(x: str) -> str:
     return rf"list_filter(regexp_split_to_array({x}, '{WS}+'), lambda w: w <> '')"
 
 
-def term_list(x: str) -> str:
-    ws = rf"regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}_]{{2,}}')"
-    return f"list_concat({ws}, list_transform(range(1, len({ws})), lambda i: {ws}[i] || ' ' || {ws}[i + 1]))"
-
-
 def r6(x: str, name: str = "") -> str:
     return f"round({x}, 6) + CAST(0 AS DOUBLE)" + (f" AS {name}" if name else "")
 
@@ -220,8 +215,11 @@ SELECT a.article_id, {r6('coalesce(n, 0)', 'tfidf_norm')} FROM articles a LEFT J
     **{
         key: f"""WITH {ARTICLES}, t AS (SELECT article_id, {tokens('content')} AS tokens FROM articles)
 SELECT article_id, CAST(len(tokens) AS INTEGER) AS n_tokens, md5(array_to_string(tokens, '|')) AS digest FROM t"""
-        for key, tokens in (("tok_words", words), ("tok_space", space_words), ("tok_terms", term_list))
+        for key, tokens in (("tok_words", words), ("tok_space", space_words))
     },
+    "tok_terms": rf"""WITH {ARTICLES}, ws AS MATERIALIZED (SELECT article_id, regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}_]{{2,}}') AS ws FROM articles),
+t AS (SELECT article_id, list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS tokens FROM ws)
+SELECT article_id, CAST(len(tokens) AS INTEGER) AS n_tokens, md5(array_to_string(tokens, '|')) AS digest FROM t""",
     "token_counts": f"WITH {ARTICLES}, {FULL}, {COUNTS} SELECT token, cnt FROM counts",
     "vocab_freq": f"WITH {VOCAB} SELECT token, id, cnt FROM vocab",
     "vocab_capped": f"WITH {CAPPED} SELECT token, id, cnt FROM vocab",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
@@ -35,8 +35,8 @@ def load_or_train(path: str, train: Callable[[], PipelineModel]) -> PipelineMode
     """The model saved at ``path``; if there is none, train one and save it."""
     try:
         return PipelineModel.load(path)
-    except Py4JJavaError as error:
-        if "Input path does not exist" not in str(error):
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
     model = train()
     save_model(model, path)
