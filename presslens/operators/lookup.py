@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from presslens.session import cut
 
-# Together these bound what is broadcast: 20,000 keys of at most 64 characters.
+# A table is broadcast whole only if it was measured to be smaller than this.
+BROADCAST_BYTES = 64 * 2**20
+# Beyond that, what is broadcast is bounded by 20,000 keys of at most 64 characters.
 HOT_KEYS = 20_000
 HOT_KEY_LENGTH = 64
 
@@ -17,17 +19,31 @@ def hot_keys(rows: DataFrame, key: str) -> DataFrame:
     return cut(counts.orderBy(F.col("count").desc(), key).limit(HOT_KEYS).select(key))
 
 
-def lookup(rows: DataFrame, key: str, table: DataFrame, keep_missing: bool = False, hot: DataFrame | None = None) -> DataFrame:
-    """Join ``rows`` to ``table``, whose ``key`` is unique.
+def fits_broadcast(table: DataFrame, key: str, payload_bytes: int) -> bool:
+    """Measure the table: key bytes plus the given bytes per row."""
+    size = table.agg(F.sum(F.octet_length(key) + F.lit(payload_bytes).cast("bigint"))).first()[0]
+    return (size or 0) <= BROADCAST_BYTES
 
-    Hot keys meet a broadcast slice of the table and are never shuffled; what is
-    left has no key with more than 1/HOT_KEYS of the rows and joins by shuffle.
-    Long keys always take the shuffle. Pass ``hot`` (at most ``HOT_KEYS`` rows)
-    if the frequent keys are known.
+
+def lookup(
+    rows: DataFrame, key: str, table: DataFrame, payload_bytes: int, keep_missing: bool = False, hot: DataFrame | None = None
+) -> DataFrame:
+    """Join ``rows`` to ``table``, whose ``key`` is unique; rows without a key stay only with ``keep_missing``.
+
+    A table measured to be small is broadcast. With a large one, hot keys meet a
+    broadcast slice of it and are never shuffled; what is left has no key with
+    more than 1/HOT_KEYS of the rows and joins by shuffle. Long keys always take
+    the shuffle. ``hot`` (at most ``HOT_KEYS`` rows) names the frequent keys if
+    they are known. Pass a table that is cheap to read twice.
     """
-    hot = hot_keys(rows, key) if hot is None else hot.select(key).limit(HOT_KEYS)
     how = "left" if keep_missing else "inner"
+    if fits_broadcast(table, key, payload_bytes):
+        return rows.join(F.broadcast(table), key, how)
+    hot = hot_keys(rows, key) if hot is None else hot.select(key).limit(HOT_KEYS)
     slice_of_table = table.join(F.broadcast(hot), key, "left_semi")
-    hot_rows = rows.join(F.broadcast(hot), key, "left_semi") if keep_missing else rows
-    cold_rows = rows.join(F.broadcast(hot), key, "left_anti")
-    return hot_rows.join(F.broadcast(slice_of_table), key, how).unionByName(cold_rows.join(table, key, how))
+    marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
+    # Rows without a key would all meet in one task, so they stay with the hot ones.
+    stays = F.col("_hot").isNotNull() | F.col(key).isNull()
+    near = marked.where(stays).drop("_hot").join(F.broadcast(slice_of_table), key, how)
+    far = marked.where(~stays).drop("_hot").join(table, key, how)
+    return near.unionByName(far)

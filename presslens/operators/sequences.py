@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from presslens.operators.lookup import HOT_KEY_LENGTH, HOT_KEYS, lookup
-from presslens.operators.vocabulary import CLS, SEP, exploded
+from presslens.operators.vocabulary import CLS, SEP
 
 HEAD_LENGTH = 256
 TAIL_LENGTH = 500
@@ -45,14 +45,13 @@ def numericalize(
     table = vocabulary.select("token", "id")
     if num_words is not None:
         table = table.where(F.col("id") < num_words)
-    found = lookup(
-        exploded(short, "tokens", id_col, *keep), "token", table, keep_missing=True, hot=hot_vocabulary(vocabulary)
-    )
-    known = F.coalesce(F.col("id"), F.lit(unknown_id)).cast("bigint")
-    listed = F.array_sort(F.collect_list(F.struct("pos", known.alias("id"))))
-    filled = found.groupBy(id_col, *keep).agg(F.transform(listed, lambda e: e["id"]).alias("ids"))
-    empty = short.where(F.size("tokens") == 0).select(id_col, *keep, F.array().cast("array<bigint>").alias("ids"))
-    return filled.unionAll(empty).withColumn("ids", pad_right(F.col("ids"), length))
+    rows = short.select(id_col, *keep, F.posexplode_outer("tokens").alias("pos", "token"))
+    found = lookup(rows, "token", table, payload_bytes=16, keep_missing=True, hot=hot_vocabulary(vocabulary))
+    known = F.when(F.col("pos").isNotNull(), F.coalesce(F.col("id"), F.lit(unknown_id)).cast("bigint"))
+    # At most `length` entries per text; the row of an empty text adds none.
+    listed = F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", known.alias("id")))))
+    ids = found.groupBy(id_col, *keep).agg(F.transform(listed, lambda e: e["id"]).alias("ids"))
+    return ids.withColumn("ids", pad_right(F.col("ids"), length))
 
 
 def hot_vocabulary(vocabulary: DataFrame) -> DataFrame:

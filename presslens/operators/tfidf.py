@@ -152,8 +152,10 @@ def centroid(df: DataFrame, model: TfidfModel, text_col: str) -> DataFrame:
     n_rows = df.count()
     parts = sparse_parts(F.col("_w"))
     pairs = F.arrays_zip(parts["indices"].alias("i"), parts["values"].alias("v"))
+    # The norm is taken before the explode; beside it, it would be taken per term.
+    rows = w.select(sparse_norm(F.col("_w")).alias("_n"), pairs.alias("_pairs"))
     means = (
-        w.select(sparse_norm(F.col("_w")).alias("_n"), F.explode_outer(pairs).alias("p"))
+        rows.select("_n", F.explode_outer("_pairs").alias("p"))
         .where(F.col("p").isNotNull())
         .groupBy(F.col("p.i").alias("term_index"))
         .agg((F.sum(F.col("p.v") / F.col("_n")) / n_rows).alias("mean_weight"))

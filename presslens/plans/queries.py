@@ -323,10 +323,10 @@ def embedding_matrix(spark, sf):
 
 def in_vocabulary_tokens(spark, sf):
     a = full_text(articles(spark, sf))
-    vectors = word_vectors(spark, sf, text_vocabulary(articles(spark, sf)))
+    vectors = cut(word_vectors(spark, sf, text_vocabulary(articles(spark, sf))))
     from presslens.operators.lookup import lookup
 
-    kept = lookup(vocabulary.exploded(a, "tokens", "article_id"), "token", vectors.select("token"))
+    kept = lookup(vocabulary.exploded(a, "tokens", "article_id"), "token", vectors.select("token"), payload_bytes=0)
     return kept.groupBy("article_id").agg(F.count("*").alias("n_known"))
 
 
@@ -362,7 +362,7 @@ def mean_sentence_vec(spark, sf):
 def oov_backoff(spark, sf):
     vocab = text_vocabulary(articles(spark, sf))
     vectors = cut(word_vectors(spark, sf, vocab))
-    rare = vocab.where(F.col("id") > 1).select("token").join(vectors, "token", "left_anti")
+    rare = cut(vocab.where(F.col("id") > 1).select("token").join(vectors, "token", "left_anti"))
     return wordvectors.backoff_vectors(rare, vectors, DIM).select(*_vector_summary("token", "grams"))
 
 

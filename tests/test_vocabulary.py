@@ -73,14 +73,16 @@ def test_pair_sequences(spark):
 
 def test_lookup_is_the_same_for_hot_and_cold_keys(spark, monkeypatch):
     rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("token"))
-    rows = rows.unionAll(spark.createDataFrame([(9000 + i, "x" * 200) for i in range(3)], "id bigint, token string"))
+    more = [(9000 + i, "x" * 200) for i in range(3)] + [(9100 + i, None) for i in range(5)]
+    rows = rows.unionAll(spark.createDataFrame(more, "id bigint, token string"))
     table = spark.createDataFrame([("hot", 1), ("k1", 2), ("k7", 3), ("x" * 200, 4), ("never", 5)], "token string, v int")
     want_inner = sorted(map(tuple, rows.join(table, "token").collect()))
     want_left = sorted(map(tuple, rows.join(table, "token", "left").collect()), key=repr)
-    for limit in (1, 2, 20_000):
+    for limit, size in ((1, 0), (2, 0), (20_000, 0), (20_000, 10**6)):
         monkeypatch.setattr(lookup, "HOT_KEYS", limit)
-        assert sorted(map(tuple, lookup.lookup(rows, "token", table).collect())) == want_inner
-        kept = lookup.lookup(rows, "token", table, keep_missing=True)
+        monkeypatch.setattr(lookup, "BROADCAST_BYTES", size)
+        assert sorted(map(tuple, lookup.lookup(rows, "token", table, 4).collect())) == want_inner
+        kept = lookup.lookup(rows, "token", table, 4, keep_missing=True)
         assert sorted(map(tuple, kept.collect()), key=repr) == want_left
 
 
