@@ -139,6 +139,7 @@ def pr_curve(df: DataFrame) -> DataFrame:
 
 
 def log_loss(df: DataFrame) -> DataFrame:
+    """Mean cross-entropy, probabilities kept off 0 and 1."""
     p = F.greatest(F.lit(EPSILON), F.least(F.col("prob"), F.lit(1 - EPSILON)))
     return _labelled(df).agg(F.avg(-F.log(F.when(F.col("y") == 1, p).otherwise(1 - p))).alias("log_loss"))
 

@@ -18,6 +18,7 @@ from presslens.sources.csv import read_csv, read_csv_detected
 from presslens.sources.sinks import load_or_train, write_csv, write_metrics
 
 DIM = 64
+NGRAM_WIDTH = 2**12
 LATIN = "abcdefghijklmnopqrstuvwxyz"
 HANGUL = "가나다라마바사아자차카타파하거너더러머버서어저처커터"
 
@@ -539,12 +540,12 @@ def _scored(df: DataFrame, *extra: str) -> DataFrame:
 
 def ngram_clf(spark, sf):
     rows = labelled(spark, sf)
-    return _scored(missions.headline_study(rows, rows).scored, "cos_sim")
+    return _scored(missions.headline_study(rows, rows, width=NGRAM_WIDTH).scored, "cos_sim")
 
 
 def context_clf(spark, sf):
     rows = labelled(spark, sf)
-    return _scored(missions.context_study(rows, articles(spark, sf)).scored, *missions.CONTEXT_FEATURES)
+    return _scored(missions.context_study(rows, articles(spark, sf), width=NGRAM_WIDTH).scored, *missions.CONTEXT_FEATURES)
 
 
 def vector_clf(spark, sf):
