@@ -148,13 +148,14 @@ def pearson(df: DataFrame) -> DataFrame:
     return _labelled(df).agg(F.corr(F.col("y").cast("double"), F.col("prob")).alias("pearson_r"))
 
 
-def evaluate(df: DataFrame) -> DataFrame:
-    """One row with everything the JSON report holds."""
+def evaluate(df: DataFrame, loss: bool = False) -> DataFrame:
+    """One row with everything the JSON report holds; ``loss`` adds the mean cross-entropy."""
     df = cut(_labelled(df).select("y", "prob", "pred"))
     area = auroc(df).scalar()
     return precision_recall_f1(df).select(
         F.col("accuracy").alias("Accuracy"), F.col("precision").alias("Precision"), F.col("recall").alias("Recall"),
         F.col("f1").alias("F1"), area.alias("ROC-AUC"), area.alias("AUROC"),
+        *([log_loss(df).scalar().alias("Loss")] if loss else []),
     )
 
 

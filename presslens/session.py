@@ -60,10 +60,20 @@ def cut(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Give a CPU-heavy projection enough tasks when the input is a small file.
 
-    The shuffle happens only if the scan has fewer splits than twice the cores,
-    which bounds the rows moved to that many splits; large inputs pass through.
+    The shuffle happens only if the scan has fewer splits than there are cores,
+    which bounds what is moved to that many splits; large inputs pass through.
     """
     want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < 2 * want:
+    if df.rdd.getNumPartitions() < want:
         return df.repartition(want)
     return df
+
+
+def narrow(df: DataFrame, rows_per_task: int = 5000) -> DataFrame:
+    """Fewer partitions for a small table that an iterative trainer reads many times.
+
+    Every iteration pays for its tasks; a table with enough rows for all its
+    partitions is left alone.
+    """
+    wanted = max(1, -(-df.count() // rows_per_task))
+    return df.coalesce(wanted) if wanted < df.rdd.getNumPartitions() else df
