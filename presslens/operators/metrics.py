@@ -166,10 +166,10 @@ def best_step(history: DataFrame, metric: str, split: str = "validation") -> Dat
 
 
 def best_steps(history: DataFrame, split: str = "validation") -> DataFrame:
-    """``(metric, step, value)``: ``best_step`` of every metric, one aggregate."""
+    """``(metric, step, value)``: ``best_step`` of every metric at once."""
     rows = history.where((F.col("split") == split) & F.col("value").isNotNull())
-    best = F.max(F.struct("value", (-F.col("step")).alias("back"))).alias("best")
-    return rows.groupBy("metric").agg(best).select("metric", (-F.col("best.back")).alias("step"), F.col("best.value").alias("value"))
+    earliest = rows.groupBy("metric", "value").agg(F.min("step").alias("step"))
+    return earliest.groupBy("metric").agg(F.max_by("step", "value").alias("step"), F.max("value").alias("value"))
 
 
 def history_by_split(history: DataFrame, metric: str) -> DataFrame:

@@ -41,12 +41,19 @@ def frequency_vocabulary(
 
 def capped_vocabulary(df: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
     """``(token, id, cnt)``: OOV is 1, words follow by count, ties by first appearance."""
-    counts = (
-        exploded(df, tokens_col, id_col)
-        .groupBy("token")
-        .agg(F.count("*").alias("cnt"), F.min(F.struct(id_col, "pos")).alias("first"))
+    # A text sends all its tokens to be counted and its distinct ones, in order
+    # of appearance, to find the first; plain numbers keep the aggregate hashed.
+    lists = F.array(F.col(tokens_col), F.array_distinct(tokens_col))
+    rows = (
+        df.select(id_col, F.posexplode_outer(lists).alias("kind", "tokens"))
+        .select(id_col, "kind", F.posexplode_outer("tokens").alias("pos", "token"))
+        .where(F.col("token").isNotNull())
     )
-    ids = ranked(counts, [F.col("cnt").desc(), F.col("first")], "rank")
+    text = F.when(F.col("kind") == 1, F.col(id_col))
+    counts = rows.groupBy("token").agg(
+        F.count_if(F.col("kind") == 0).alias("cnt"), F.min(text).alias("text"), F.min_by("pos", text).alias("pos")
+    )
+    ids = ranked(counts, [F.col("cnt").desc(), F.col("text"), F.col("pos")], "rank")
     numbered = ids.select("token", (F.col("rank") + 1).alias("id"), "cnt")
     return _special_rows(df, (OOV,), 1).unionAll(numbered)
 
