@@ -123,8 +123,8 @@ ORACLE = {
     "op3_quality_rules": r"""
         WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
         split AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
-            list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM texts),
-        counts AS (SELECT r, doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, w -> length(w))), 0)::BIGINT AS word_chars,
+            list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM texts),
+        counts AS (SELECT r, doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars,
             length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals,
             len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines FROM split),
         windows AS (SELECT r, i, words[i : i + 4] AS w FROM (SELECT r, words, unnest(range(1, len(words) - 3)) AS i FROM split)),
