@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-The classifier is linear over hashed words (present or not). It learns from confirmed toxic
+The classifier is linear over hashed words and starts of words (present or not). It learns from confirmed toxic
 texts and from unlabelled ones: with class prior p, the risk on negatives is the unlabelled
 risk less p times the positives' share of it, held at zero or above (where it falls below,
 the step goes the other way, so the model can't fit by calling everything unlabelled safe).
@@ -24,34 +24,36 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from presslens.llm.common import bounded_sample, text_value
 
-BUCKETS = 2**16
+BUCKETS = 2**18
+STARTS = (5, 6, 7, 8)
 POSITIVES = 1500
 UNLABELLED = 5000
 TOKEN = re.compile(r"\w+")
 CACHE_WORDS = 200_000
 
 
-def bucket(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
+def features(word: str) -> list[int]:
+    """Buckets of a word and of its starts; compounds share the start of what they are made of."""
+    parts = [word, *(f"{word[:k]}-" for k in STARTS if k < len(word))]
+    return [zlib.crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in parts]
 
 
 def buckets(text: str) -> list[int]:
-    """The hashed words of a text, each once."""
-    return sorted(set(map(bucket, set(TOKEN.findall(text.lower())))))
+    """The hashed features of a text, each once."""
+    return sorted({b for word in set(TOKEN.findall(text.lower())) for b in features(word)})
 
 
 class _Weights(dict):
-    """Weights by word, filled as words come up and emptied when it grows too large."""
+    """Weighted buckets by word, filled as words come up and emptied when it grows too large."""
 
     def __init__(self, weights: dict[int, float]):
         super().__init__()
         self.weights = weights
 
-    def __missing__(self, word: str) -> tuple[int, float]:
+    def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) > CACHE_WORDS:
             self.clear()
-        b = bucket(word)
-        out = self[word] = (b, self.weights.get(b, 0.0))
+        out = self[word] = tuple(b for b in features(word) if b in self.weights)
         return out
 
     def __reduce__(self):
@@ -68,8 +70,8 @@ class Model:
         self.cache = _Weights(self.weights)
 
     def score(self, text: str) -> float:
-        hits = {b: w for b, w in map(self.cache.__getitem__, set(TOKEN.findall(text.lower()))) if w}
-        z = self.offset + math.fsum(hits.values())
+        hits = set().union(*map(self.cache.__getitem__, set(TOKEN.findall(text.lower()))))
+        z = self.offset + math.fsum(self.weights[b] for b in hits)
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
