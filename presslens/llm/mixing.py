@@ -114,16 +114,21 @@ def min_cost_flow(patterns: dict[tuple, int], quotas: dict, max_repeats: int = 2
     return {p: max_repeats * patterns[p] - sum(graph[0][k].room for k in tiers[p]) for p in patterns}
 
 
-def mixture(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sources: Column | None = None, *,
-    share: float = 1.5, max_repeats: int = 2, seed: int = 11, weights: Sequence[int] = WEIGHTS,
-) -> DataFrame:
+def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sources: Column | None = None, **options) -> DataFrame:
     """One row for each document: doc_id, sources, size, source_size, target and taken.
 
     ``sources`` is an array of the sources a document belongs to (default: its ``source``
     alone); ``source_size`` and ``target`` are sums over them. A document in no source is
-    never taken. Sizes are worked out once and written to the shared folder.
+    never taken. Sizes are worked out once and written to the shared folder. Options are
+    those of ``_mixture``.
     """
+    return _mixture(docs, doc_id, text, sources, **options).drop("tie")
+
+
+def _mixture(
+    docs: DataFrame, doc_id: str, text: str, sources: Column | None = None, *,
+    share: float = 1.5, max_repeats: int = 2, seed: int = 11, weights: Sequence[int] = WEIGHTS,
+) -> DataFrame:
     spark = docs.sparkSession
     sources = F.array(F.col("source")) if sources is None else F.array_sort(F.array_distinct(sources))
     path = scratch_path(spark, "sizes")
@@ -154,7 +159,7 @@ def mixture(
     width = 1
     while 16**width * ROWS_PER_BUCKET < max((r.n for r in sums), default=0):
         width += 1
-    return _taken(sized, plan, width).select("doc_id", "sources", "size", "source_size", "target", "taken")
+    return _taken(sized, plan, width).select("doc_id", "sources", "size", "source_size", "target", "taken", "tie")
 
 
 def _taken(sized: DataFrame, plan: DataFrame, width: int) -> DataFrame:
@@ -179,7 +184,7 @@ def _taken(sized: DataFrame, plan: DataFrame, width: int) -> DataFrame:
     inner = F.sum("size").over(
         Window.partitionBy("pattern", "bucket").orderBy("turn", "tie").rowsBetween(Window.unboundedPreceding, -1)
     )
-    common = ["doc_id", "sources", "size", "source_size", "target"]
+    common = ["doc_id", "sources", "size", "source_size", "target", "tie"]
     base = F.col("whole") * F.col("size")
     plain = known.where(F.col("start").isNull()).select(
         *common, (base + F.when(F.col("bucket") <= F.col("full_to"), F.col("size")).otherwise(0)).alias("taken")
@@ -208,16 +213,16 @@ def first_words(text: Column, n: Column) -> Column:
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The mix itself: ``docs`` with every row as often as it is taken, its last copy cut to the words taken.
 
-    Rows keep their columns; ``n_chars`` follows the text where there is one.
+    Rows keep their columns; ``n_chars`` follows the text where there is one. Rows with the
+    same id and text take equal parts of what they are given together.
     """
     name = "_taken_words"
-    counts = mixture(docs, doc_id, text, **options).groupBy("doc_id").agg(
-        F.sum("size").alias("size"), F.sum("taken").alias(name), F.count("*").alias("copies")
+    counts = _mixture(docs, doc_id, text, **options).groupBy(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie")).agg(
+        F.sum("taken").alias(name), F.count("*").alias("_rows")
     )
-    joined = docs.join(counts.withColumnRenamed("doc_id", "_doc"), F.col(doc_id).eqNullSafe(F.col("_doc")))
-    own = word_count(F.col(text))
-    share = F.when(F.col("size") == 0, 0).otherwise(F.floor(F.col(name) * own / F.col("size")))
-    held = joined.withColumns({"_own": own}).withColumn("_take", share)
+    tie = F.md5(F.coalesce(F.col(text), F.lit("")))
+    joined = docs.join(counts, F.col(doc_id).eqNullSafe(F.col("_doc")) & (tie == F.col("_tie")))
+    held = joined.withColumns({"_own": word_count(F.col(text)), "_take": F.floor(F.col(name) / F.col("_rows"))})
     times = F.when(F.col("_own") == 0, 0).otherwise(F.ceil(F.col("_take") / F.col("_own")))
     repeated = held.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1)).cast("int"))))
     repeated = repeated.where(F.col("_take") > 0)

@@ -1,0 +1,199 @@
+"""Operators on single texts against brute force and hand-made cases."""
+
+import hashlib
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from presslens.llm import crf, licences, merkle, rules
+from presslens.llm.common import WORD, ascii_lower
+
+ODD_ROWS = [(1, None), (2, ""), (3, " \t\n"), (4, "word " * 30_000), (5, "a b"), (5, "a b"), (None, "x y z"), (6, "ß Ünï 日本 \u00a0 9@")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and long texts, repeated rows, an extra column with a clashing name."""
+    df = spark.createDataFrame(ODD_ROWS, "doc_id long, text string")
+    return df.withColumn("n_words", F.lit("mine")).withColumn("kept", F.lit(1))
+
+
+# ---- quality rules ----
+
+
+def slow_repeat_words(words):
+    windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    hit = {i + k for i in range(len(words) - 4) if windows[tuple(words[i : i + 5])] > 1 for k in range(5)}
+    return len(hit)
+
+
+@given(st.lists(st.sampled_from("ab"), max_size=40))
+@settings(max_examples=150, deadline=None)
+def test_repeat_words(words):
+    assert rules.repeat_words(words) == slow_repeat_words(words)
+    if len(words) > 5:
+        starts = [i for i in range(len(words) - 4) if words.count(words[i]) and Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4))[tuple(words[i : i + 5])] > 1]
+        assert rules._repeated_windows(words) == starts
+
+
+def test_facts():
+    f = rules.Facts("A#b\n\nA#b\n \nc$ d\u00a0e")
+    assert (f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines) == (4, 11, 3, 1)
+
+
+def test_cascade_keeps_the_same_whatever_the_order(spark, odd):
+    clean = " ".join(f"word{i}" for i in range(40))
+    docs = odd.unionByName(spark.createDataFrame([(7, clean), (8, clean.upper()), (9, "#### " * 40)], "doc_id long, text string"), allowMissingColumns=True)
+    kept = rules.keep_good(docs)
+    assert kept.columns == docs.columns
+    assert [r.doc_id for r in kept.collect()] == [7]
+    order = rules.ordered_rules(docs)
+    assert sorted(r.name for r in order) == sorted(r.name for r in rules.RULES)
+    for turned in (order, order[::-1]):
+        assert {r.doc_id: r.v.kept for r in docs.select("doc_id", rules.judged(turned, F.col("text")).alias("v")).collect()}[7]
+    assert rules.keep_good(docs.limit(0)).count() == 0
+
+
+def test_cheap_selective_rules_come_first(spark):
+    import time
+
+    docs = spark.createDataFrame([(i, "x " * 20) for i in range(50)], "doc_id long, text string")
+    costly = rules.Rule("costly", lambda f: time.sleep(0.002) or True)
+    never = rules.Rule("never", lambda f: False)
+    cheap = rules.Rule("cheap", lambda f: len(f.text) > 1)
+    assert [r.name for r in rules.ordered_rules(docs, rules=(never, costly, cheap))] == ["cheap", "costly", "never"]
+
+
+# ---- licences ----
+
+
+@pytest.mark.parametrize(
+    "text, base, labels",
+    [
+        ("CC-BY, cc by.", "cc-by", "cc-by"),
+        ("xcc by", "", ""),
+        ("All  Rights\nreserved general public license", "gpl,reserved", "gpl,reserved"),
+        ("SPDX-License-Identifier: MIT OR (Apache-2.0 AND BSD-3-Clause)\nrest", "", "apache-2.0,bsd-3-clause,identifier,mit"),
+        ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 */", "", "gpl-2.0-only-with-classpath-exception-2.0,identifier"),
+        ("SPDX-License-Identifier:", "", "identifier,unparsed"),
+        ("", "", ""),
+    ],
+)
+def test_licence_labels(text, base, labels):
+    found = licences.scan(text)
+    assert found[4:6] == (base, labels)
+    assert 0 <= found[6] <= 1
+
+
+def test_licence_places_against_words():
+    text = "é cc by 9 CC\u00e9 by cc-by.cc_by all rights reserved"
+    words = licences.WORD.findall(ascii_lower(text))
+    phrases = [p.split() for p in licences.BASE_PHRASES]
+    starts = [i for p in phrases for i in range(len(words)) if words[i : i + len(p)] == p]
+    n, places, first, last, *_ = licences.scan(text)
+    assert (n, places, first, last) == (len(words), len(starts), min(starts), max(starts))
+
+
+def test_expressions():
+    assert licences.postfix("MIT OR Apache-2.0 AND GPL-3.0".split()) == ["mit", "apache-2.0", "gpl-3.0", "and", "or"]
+    assert licences.postfix("( MIT".split()) is None and licences.postfix("MIT OR".split()) is None
+    assert licences.evaluate(["mit", "gpl-3.0", "or"])[1] == licences.level("mit")
+    assert licences.evaluate(["mit", "gpl-3.0", "and"])[1] == licences.level("gpl-3.0")
+    assert licences.level("gpl-2.0") > licences.evaluate(["gpl-2.0", "classpath-exception", "with"])[1]
+
+
+# ---- personal data ----
+
+
+def plain_spans(text):
+    """The contract's patterns run as they are written."""
+    out = []
+    for kind, pattern in [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+        ("card", r"[0-9]([\x20-]?[0-9])+"),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+    ]:
+        for m in re.finditer(pattern, text):
+            d = re.sub("[^0-9]", "", m[0])
+            odd = [int(x) for x in d[-1::-2]] + [sum(divmod(2 * int(x), 10)) for x in d[-2::-2]]
+            fits = {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else True,
+                    "card": 13 <= len(d) <= 19 and sum(odd) % 10 == 0, "phone": 9 <= len(d) <= 15}[kind]
+            if fits:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+@given(st.lists(st.sampled_from(["a", "b.c", "@", ".", "_", "-", "1", "23", "4111111111111111", "4111 1111-1111 1111", " ", "+", "(", ")", "\n", "256.", "10.", "é", "1.2.3.4"]), max_size=25))
+@settings(max_examples=400, deadline=None)
+def test_base_spans(parts):
+    text = "".join(parts)
+    assert crf.base_spans(text) == plain_spans(text)
+
+
+def test_viterbi_against_all_paths():
+    import itertools
+
+    rng = np.random.default_rng(1)
+    lengths = [1, 4, 2, 3, 5]
+    emission, start, step = rng.normal(size=(sum(lengths), 3)), rng.normal(size=3), rng.normal(size=(3, 3))
+    got, at = crf.viterbi(emission, lengths, start, step), 0
+    for n in lengths:
+        value = lambda p: start[p[0]] + sum(emission[at + k, x] for k, x in enumerate(p)) + sum(step[a, b] for a, b in zip(p, p[1:]))  # noqa: B023, E731
+        assert tuple(got[at : at + n]) == max(itertools.product(range(3), repeat=n), key=value)
+        at += n
+
+
+def test_field_finds_what_patterns_miss(spark, odd):
+    field = crf.train(crf.labelled_table(spark))
+    decoder = crf.Decoder(field)
+    text = 'call (555) 123-4567 now, token = "0a1b2c3d4e5f60718293a4b5c6d7e8f901234567" and mail a.12@mail3.example.com in 2021'
+    ((base, added),) = crf.spans_of([text], decoder)
+    assert [text[a:b] for _, a, b in base] == ["a.12@mail3.example.com"]
+    assert {(k, text[a:b]) for k, a, b in added} == {("phone", "(555) 123-4567"), ("secret", "0a1b2c3d4e5f60718293a4b5c6d7e8f901234567")}
+    plain = "In 2021 some 12,000 people read version 2.0, page 17. Nothing else happened at 12:30."
+    assert crf.spans_of([plain], decoder) == [([], [])]
+    rows = odd.withColumn("text", crf.redacted(field, F.col("text"))).collect()
+    assert len(rows) == len(ODD_ROWS) and rows[0].text is None
+    assert crf.mask("ab 12 cd", [("card", 3, 5), ("phone", 4, 6)]) == "ab [CARD]cd"
+    assert odd.limit(0).select(crf.find_spans(field, F.col("text"))).count() == 0
+
+
+# ---- fingerprints ----
+
+
+def test_merkle_root_and_branches():
+    a = "\n".join(f"Line number {i} holds some words of its own." for i in range(60))
+    b = a.replace("number 30 ", "number thirty ")
+    x, y = merkle.fingerprint(a), merkle.fingerprint(b)
+    assert x == merkle.fingerprint(a) and x.split(":")[0] != y.split(":")[0]
+    assert len(merkle.changed_paragraphs(x, y)) == 1 and merkle.changed_paragraphs(x, x) == []
+    assert merkle.likeness(x, y) == pytest.approx(59 / 60)
+    assert merkle.likeness(merkle.fingerprint(""), merkle.fingerprint("")) == 1
+    assert merkle.likeness(merkle.fingerprint(""), x) == 0
+
+
+def test_compared_follows_descending_ids(spark, odd):
+    docs = spark.createDataFrame([(i * 3, f"text {i}\n" * (i % 5) + "é" * i) for i in range(50)], "doc_id long, text string")
+    got = {r.doc_id: r for r in merkle.compared(docs).collect()}
+    rows = sorted(((r.doc_id, r.text) for r in docs.collect()), reverse=True)
+    for k, (d, text) in enumerate(rows):
+        following = rows[(k + 1) % len(rows)][1]
+        h = len(text) // 2
+        new = text[: len(text) - h] + following[:h]
+        assert got[d].n_chars == len(text)
+        assert got[d].edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
+        assert got[d].edited_fingerprint == merkle.fingerprint(new)
+        assert got[d].near_next == merkle.likeness(merkle.fingerprint(text), merkle.fingerprint(following))
+    assert merkle.compared(odd).count() == len(ODD_ROWS)
+    assert merkle.compared(odd.limit(0)).count() == 0
+    (one,) = merkle.compared(docs.limit(1)).collect()
+    assert one.near_next == 1
+
+
+def test_words_are_ascii_blank_separated():
+    assert WORD.findall("a\u00a0b\x0bc\x1cd e") == ["a\u00a0b", "c\x1cd", "e"]
