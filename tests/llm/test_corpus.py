@@ -211,7 +211,7 @@ def test_classifiers_without_labels(spark):
 def test_non_negative_risk_learns_from_unlabelled():
     rng = random.Random(2)
     text = lambda bad: [rng.randrange(50, 900) for _ in range(30)] + [rng.randrange(5)] * bad
-    model = toxicity.train([text(1) for _ in range(80)], [text(k % 10 == 0) for k in range(400)], 0.1)
+    model = toxicity.train([text(1) for _ in range(300)], [text(k % 10 == 0) for k in range(2000)], 0.1)
     assert min(model.weights.get(b, 0) for b in range(5)) > 0.3
     z = lambda row: sum(model.weights.get(b, 0) for b in set(row))
     assert np.mean([z(text(1)) > z(text(0)) for _ in range(300)]) > 0.95
