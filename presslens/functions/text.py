@@ -10,6 +10,7 @@ from pyspark.sql import Column, functions as F
 # substrings in the order they are deleted.
 SPACE = r"[\t\n\x0B\f\r ]"
 TAG = r"<[^>]+>"
+ANY_SPACE = r"[\t\n\x0B\f\r \x1C-\x1F\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 NOISE = r"[^가-힣a-zA-Z0-9\t\n\x0B\f\r ]"
 STOP_SUBSTRINGS = ("기자", "사진", "연합뉴스", "뉴스", "보도", "오늘", "대한", "에서")
 ALPHA_WORD = r"[\p{L}\p{Nl}\p{No}_]+"
@@ -17,8 +18,8 @@ TERM_WORD = r"[\p{L}\p{N}_]{2,}"
 
 
 def strip_space(col: Column) -> Column:
-    """Trim every kind of ASCII whitespace, not just blanks."""
-    return F.regexp_replace(col, rf"^{SPACE}+|{SPACE}+$", "")
+    """Trim every kind of whitespace, the wide blanks of East Asian text too."""
+    return F.regexp_replace(col, rf"^{ANY_SPACE}+|{ANY_SPACE}+$", "")
 
 
 def blank_if_null(col: Column) -> Column:
@@ -53,7 +54,7 @@ def join_text(title: Column, content: Column) -> Column:
 
 def space_tokens(col: Column) -> Column:
     """Case-sensitive split on whitespace, no empty tokens."""
-    return F.filter(F.split(blank_if_null(col), rf"{SPACE}+"), lambda w: w != "")
+    return F.filter(F.split(blank_if_null(col), rf"{ANY_SPACE}+"), lambda w: w != "")
 
 
 def lower_space_tokens(col: Column) -> Column:

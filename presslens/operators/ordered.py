@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from presslens.session import cut
+from presslens.session import cut, few_rows
 
 
 def running_totals(df: DataFrame, order: list[Column], totals: dict[str, str]) -> DataFrame:
@@ -38,7 +38,7 @@ def ranked_within(df: DataFrame, group_col: str, order: list[Column], out_col: s
     """Add the 1-based position inside each non-null group; a group may span many slices."""
     whole = ranked(df.where(F.col(group_col).isNotNull()), [F.col(group_col), *order], "_rank")
     first = whole.groupBy(group_col).agg(F.min("_rank").alias("_first"))
-    return whole.join(first, group_col).withColumn(out_col, F.col("_rank") - F.col("_first") + 1).drop("_rank", "_first")
+    return whole.join(few_rows(first), group_col).withColumn(out_col, F.col("_rank") - F.col("_first") + 1).drop("_rank", "_first")
 
 
 def quantiles(df: DataFrame, col: str, probabilities: dict[str, float]) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from presslens.operators.ordered import ranked, ranked_within
+from presslens.session import few_rows
 
 
 def split_hash(id_col: str, seed: int) -> Column:
@@ -24,7 +25,7 @@ def quota_split(df: DataFrame, id_col: str, label_col: str = "label", fraction:
     keyed = df.select(id_col, label_col, split_hash(id_col, seed).alias("_h"))
     order = ranked_within(keyed, label_col, [F.col("_h"), F.col(id_col)], "_place")
     quota = keyed.groupBy(label_col).agg(F.round(F.count("*") * fraction).alias("_quota"))
-    held = order.join(quota, label_col).where(F.col("_place") <= F.col("_quota")).select(id_col, F.lit(1).alias("_held"))
+    held = order.join(few_rows(quota), label_col).where(F.col("_place") <= F.col("_quota")).select(id_col, F.lit(1).alias("_held"))
     return df.join(held, id_col, "left").withColumn("holdout", F.coalesce("_held", F.lit(0))).drop("_held")
 
 
@@ -49,5 +50,4 @@ def class_weights(df: DataFrame, label_col: str = "label") -> DataFrame:
 
 def with_class_weight(df: DataFrame, label_col: str = "label", out_col: str = "weight") -> DataFrame:
     weights = class_weights(df, label_col).select(label_col, F.col("weight").alias(out_col))
-    # One row per class.
-    return df.join(F.broadcast(weights), label_col)
+    return df.join(few_rows(weights), label_col)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, ElementwiseProduct
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -117,12 +117,10 @@ def fit_tfidf(df: DataFrame, *text_cols: str, max_features: int = MAX_FEATURES)
     idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0
     kept = term_statistics(df, *text_cols).orderBy(F.col("cf").desc(), "term").limit(max_features)
     table = cut(kept.withColumns({"idf": idf, "key": bounded_key(F.col("term"))}))
-    counter = CountVectorizer(inputCol="key_list", outputCol="counts", vocabSize=max_features, minDF=0.0).fit(
-        table.select(F.array("key").alias("key_list"))
-    )
-    idf_of = {r["key"]: r["idf"] for r in table.select("key", "idf").collect()}
-    keys = list(counter.vocabulary)
-    return TfidfModel(table, n_docs, counter, keys, [idf_of[k] for k in keys])
+    rows = table.orderBy(F.col("cf").desc(), "term").select("key", "idf").collect()
+    keys = [r["key"] for r in rows]
+    counter = CountVectorizerModel.from_vocabulary(keys or [""], inputCol="key_list", outputCol="counts")
+    return TfidfModel(table, n_docs, counter, keys, [r["idf"] for r in rows] or [0.0])
 
 
 def pair_cosine(df: DataFrame, model: TfidfModel, left: str, right: str, out_col: str = "cos_sim") -> DataFrame:

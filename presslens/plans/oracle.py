@@ -6,10 +6,11 @@ from presslens.functions.text import STOP_SUBSTRINGS
 from presslens.plans.queries import DIM, HANGUL, LATIN
 
 WS = r"[\t\n\x0B\f\r ]"
+ANY_WS = r"[\t\n\x0B\f\r \x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
 def strip(x: str) -> str:
-    return rf"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+    return rf"regexp_replace({x}, '^{ANY_WS}+|{ANY_WS}+$', '', 'g')"
 
 
 def clean(x: str) -> str:
@@ -29,7 +30,7 @@ def words(x: str) -> str:
 
 
 def space_words(x: str) -> str:
-    return rf"list_filter(regexp_split_to_array({x}, '{WS}+'), lambda w: w <> '')"
+    return rf"list_filter(regexp_split_to_array({x}, '{ANY_WS}+'), lambda w: w <> '')"
 
 
 def r6(x: str, name: str = "") -> str:
@@ -37,8 +38,8 @@ def r6(x: str, name: str = "") -> str:
 
 
 ARTICLES = r"""articles AS (
-  SELECT doc_id AS article_id, split_part(text, chr(10), 1) AS title, substr(text, strpos(text, chr(10)) + 1) AS content
-  FROM documents WHERE contains(text, chr(10)))"""
+  SELECT doc_id AS article_id, split_part(text, chr(10), 1) AS title, CASE WHEN contains(text, chr(10)) THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END AS content
+  FROM documents)"""
 LABELLED = "labelled AS (SELECT a.*, 1 - l.quality AS label FROM articles a LEFT JOIN labels l ON l.doc_id = a.article_id)"
 PREDICTIONS = """predictions AS (
   SELECT doc_id, 1 - quality AS y, prob, CAST(prob >= 0.5 AS INTEGER) AS pred
@@ -213,11 +214,11 @@ SELECT a.article_id, {r6('coalesce(d.c, 0)', 'cos_tfidf_mean')} FROM articles a
 SELECT a.article_id, {r6('coalesce(n, 0)', 'tfidf_norm')} FROM articles a LEFT JOIN nrm USING (article_id)""",
     "stacked_texts": f"WITH {tfidf('title', 'content')} SELECT side, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM stacked GROUP BY side",
     **{
-        key: f"""WITH {ARTICLES}, t AS (SELECT article_id, {tokens('content')} AS tokens FROM articles)
+        key: f"""WITH {ARTICLES}, t AS (SELECT article_id, {tokens("(title || ' ' || content)")} AS tokens FROM articles)
 SELECT article_id, CAST(len(tokens) AS INTEGER) AS n_tokens, md5(array_to_string(tokens, '|')) AS digest FROM t"""
         for key, tokens in (("tok_words", words), ("tok_space", space_words))
     },
-    "tok_terms": rf"""WITH {ARTICLES}, ws AS MATERIALIZED (SELECT article_id, regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}_]{{2,}}') AS ws FROM articles),
+    "tok_terms": rf"""WITH {ARTICLES}, ws AS MATERIALIZED (SELECT article_id, regexp_extract_all(lower(title || ' ' || content), '[\p{{L}}\p{{N}}_]{{2,}}') AS ws FROM articles),
 t AS (SELECT article_id, list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS tokens FROM ws)
 SELECT article_id, CAST(len(tokens) AS INTEGER) AS n_tokens, md5(array_to_string(tokens, '|')) AS digest FROM t""",
     "token_counts": f"WITH {ARTICLES}, {FULL}, {COUNTS} SELECT token, cnt FROM counts",
@@ -299,6 +300,11 @@ SELECT {r6('avg(-ln(CASE WHEN y = 1 THEN p ELSE 1 - p END))', 'log_loss')} FROM
 SELECT metric, step, {r6('value', 'value')} FROM o WHERE place = 1""",
     "clipped_history": f"WITH {HISTORY} SELECT metric, step, {r6('greatest(0, least(value / 100, 1))', 'clipped_loss')} FROM history",
     "csv_roundtrip": f"WITH {ARTICLES}, {LABELLED} SELECT article_id, title, content, label FROM labelled",
+    "csv_by_name": f"WITH {ARTICLES}, {LABELLED} SELECT article_id, title, content, label FROM labelled",
+    "load_articles": f"""WITH {ARTICLES}, {LABELLED},
+rows_ AS (SELECT title, content, label FROM labelled WHERE article_id % 2 = 0 UNION ALL
+  SELECT {respelled('title')} AS title, {respelled('content')} AS content, NULL AS label FROM articles WHERE article_id % 2 = 1)
+SELECT title, content, CAST(label AS INTEGER) AS label, (SELECT count(*) FROM articles) AS ids FROM rows_""",
     "legacy_csv": f"WITH {ARTICLES} SELECT article_id, {respelled('title')} AS title, {respelled('content')} AS content FROM articles",
     "encoding_scan": f"""WITH {ARTICLES} SELECT article_id, CASE WHEN article_id % 3 = 2 THEN '햏' ELSE '' END || {respelled('title')} AS title,
 {respelled('content')} AS content, CASE article_id % 3 WHEN 0 THEN 'utf-8-sig' WHEN 1 THEN 'euc-kr' ELSE 'cp949' END AS encoding FROM articles""",

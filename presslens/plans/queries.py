@@ -14,11 +14,10 @@ from presslens.operators.ordered import ranked_within
 from presslens.plans import classify, missions
 from presslens.session import cut, scratch_path, spread
 from presslens.sources import articles as art
-from presslens.sources.csv import read_csv, read_csv_detected
+from presslens.sources.csv import load_articles as load_files, read_csv, read_csv_detected
 from presslens.sources.sinks import load_or_train, write_csv, write_metrics
 
 DIM = 64
-NGRAM_WIDTH = 2**12
 LATIN = "abcdefghijklmnopqrstuvwxyz"
 HANGUL = "가나다라마바사아자차카타파하거너더러머버서어저처커터"
 
@@ -36,12 +35,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents with a line break: first line is the title, the rest the content."""
-    docs = table(spark, sf, "documents").select("doc_id", "text").where(F.col("text").contains("\n"))
+    """All documents: the first line is the title, the rest the content ('' where there is no other line)."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    rest = F.substr(F.col("text"), F.instr("text", "\n") + 1)
     return spread(docs).select(
         F.col("doc_id").alias("article_id"),
         F.substring_index("text", "\n", 1).alias("title"),
-        F.substr(F.col("text"), F.instr("text", "\n") + 1).alias("content"),
+        F.when(F.col("text").contains("\n"), rest).otherwise("").alias("content"),
     )
 
 
@@ -258,16 +258,20 @@ def _token_digest(df: DataFrame, tokens: Column) -> DataFrame:
     return t.select("article_id", F.size("tokens").alias("n_tokens"), F.md5(F.array_join("tokens", "|")).alias("digest"))
 
 
+def both_texts() -> Column:
+    return F.concat_ws(" ", "title", "content")
+
+
 def tok_words(spark, sf):
-    return _token_digest(articles(spark, sf), word_tokens(F.col("content")))
+    return _token_digest(articles(spark, sf), word_tokens(both_texts()))
 
 
 def tok_space(spark, sf):
-    return _token_digest(articles(spark, sf), space_tokens(F.col("content")))
+    return _token_digest(articles(spark, sf), space_tokens(both_texts()))
 
 
 def tok_terms(spark, sf):
-    return _token_digest(articles(spark, sf), with_bigrams(term_words(F.col("content"))))
+    return _token_digest(articles(spark, sf), with_bigrams(term_words(both_texts())))
 
 
 def token_counts(spark, sf):
@@ -496,6 +500,29 @@ def csv_roundtrip(spark, sf):
     return back.fillna("", ["title", "content"]).select("article_id", "title", "content", "label")
 
 
+def csv_by_name(spark, sf):
+    """Columns in another order than the schema's, under Korean headers."""
+    path = scratch_path(spark, "by_name.csv")
+    rows = labelled(spark, sf).select(
+        F.col("label").alias("가짜뉴스여부"), F.col("content").alias("본문"), "article_id", F.col("title").alias("뉴스제목"),
+    )
+    write_csv(rows, path)
+    back = read_csv(spark, path, schema=art.ARTICLE_SCHEMA, na_strings=("",))
+    return back.fillna("", ["title", "content"]).select("article_id", "title", "content", "label")
+
+
+def load_articles(spark, sf):
+    """Files without ids in two encodings, with headers of two languages and orders."""
+    base = scratch_path(spark, "loaded")
+    rows = labelled(spark, sf)
+    write_csv(rows.where("article_id % 2 = 0").select("label", "content", "title"), f"{base}/a")
+    other = korean(rows.where("article_id % 2 = 1")).select(F.col("title").alias("뉴스제목"), F.col("content").alias("본문"))
+    write_csv(other, f"{base}/b", "EUC-KR")
+    back = load_files(spark, [f"{base}/{d}" for d in "ab"], na_strings=("",))
+    ids = back.agg(F.countDistinct("article_id").alias("ids"))
+    return back.select("title", "content", "label", ids.scalar().alias("ids"))
+
+
 def legacy_csv(spark, sf):
     path = scratch_path(spark, "legacy.csv")
     write_csv(korean(articles(spark, sf)), path, "EUC-KR")
@@ -534,33 +561,39 @@ def export_metrics(spark, sf):
 # ---- trained models (no SQL twin) ----
 
 
+def halves(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nine tenths to train on, one tenth to score."""
+    split = splits.hash_split(df, "article_id", seed=7)
+    return split.where("holdout = 0").drop("holdout"), split.where("holdout = 1").drop("holdout")
+
+
 def _scored(df: DataFrame, *extra: str) -> DataFrame:
     return df.select("article_id", *[r6(F.col(c)).alias(c) for c in (*extra, "prob")], "pred")
 
 
 def ngram_clf(spark, sf):
-    rows = labelled(spark, sf)
-    return _scored(missions.headline_study(rows, rows, width=NGRAM_WIDTH).scored, "cos_sim")
+    train, test = halves(labelled(spark, sf))
+    return _scored(missions.headline_study(train, test).scored, "cos_sim")
 
 
 def context_clf(spark, sf):
-    rows = labelled(spark, sf)
-    return _scored(missions.context_study(rows, articles(spark, sf), width=NGRAM_WIDTH).scored, *missions.CONTEXT_FEATURES)
+    train, test = halves(labelled(spark, sf))
+    return _scored(missions.context_study(train, test.drop("label")).scored, *missions.CONTEXT_FEATURES)
 
 
 def vector_clf(spark, sf):
-    cleaned = art.cleaned_articles(labelled(spark, sf))
-    return _scored(missions.word_vector_study(cleaned, cleaned).scored, "cosine_similarity")
+    train, test = halves(labelled(spark, sf))
+    return _scored(missions.word_vector_study(train, test).scored, "cosine_similarity")
 
 
 def embedding_clf(spark, sf):
-    pairs = embedding_pairs(spark, sf)
-    return _scored(missions.embedding_study(pairs, pairs, "title_vec", "content_vec").scored, "cos_sim_embedding")
+    train, test = halves(embedding_pairs(spark, sf))
+    return _scored(missions.embedding_study(train, test, "title_vec", "content_vec").scored, "cos_sim_embedding")
 
 
 def w2v_cosine(spark, sf):
-    cleaned = art.cleaned_articles(articles(spark, sf).withColumn("label", F.lit(None).cast("int")))
-    (out,) = missions.word_vector_features(cleaned, cleaned)
+    rows = articles(spark, sf)
+    (out,) = missions.word_vector_features(rows, rows)
     return out.select("article_id", r6(F.col("cosine_similarity")).alias("cosine_similarity"))
 
 
@@ -597,7 +630,8 @@ QUERIES = {
         in_vocabulary_tokens, sentence_vec, sentence_cosine, mean_vec_cosine, mean_sentence_vec, oov_backoff,
         pair_embedding_cosine, class_weights, split_hash, split_quota, split_tail, one_hot, softmax_score, decide,
         predicted_fake, confusion, accuracy, prf, class_report, auroc, roc_curve, pr_curve, log_loss, pearson, best_step,
-        clipped_history, csv_roundtrip, legacy_csv, encoding_scan, export_predictions, export_metrics, ngram_clf,
+        clipped_history, csv_roundtrip, csv_by_name, load_articles,
+        legacy_csv, encoding_scan, export_predictions, export_metrics, ngram_clf,
         context_clf, vector_clf, embedding_clf, w2v_cosine, subword_vec, metric_history, model_reload,
     )
 }

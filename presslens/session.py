@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(cores: str | int = 8, memory: str = "8g", shuffle_partitions: int = 8) -> SparkSession:
@@ -57,6 +57,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def few_rows(df: DataFrame, limit: int = 100_000) -> DataFrame:
+    """``df`` written once, and marked for broadcast if it was counted to be small (one row per label, say)."""
+    kept = cut(df)
+    return F.broadcast(kept) if kept.count() <= limit else kept
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a CPU-heavy projection enough tasks when the input is a small file.
 

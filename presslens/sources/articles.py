@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from presslens.functions.text import blank_if_null, clean_text, join_text
 
@@ -19,6 +19,17 @@ ARTICLE_SCHEMA = T.StructType(
 HEADER_NAMES = {"뉴스제목": "title", "본문": "content", "가짜뉴스여부": "label"}
 
 
+def with_article_ids(df: DataFrame, path_col: str) -> DataFrame:
+    """Add ``article_id`` where files have none: a digest of file, title, content and the ordinal among copies.
+
+    Stable for the same files; no order over all rows. Copies are numbered within a file.
+    """
+    parts = [F.col(path_col), blank_if_null(F.col("title")), blank_if_null(F.col("content"))]
+    digest = F.xxhash64(*parts)
+    ordinal = F.row_number().over(Window.partitionBy(path_col, digest).orderBy(F.col("label") if "label" in df.columns else digest))
+    return df.withColumn("_copy", ordinal).withColumn("article_id", F.xxhash64(*parts, "_copy")).drop("_copy")
+
+
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
     """Fail while planning when a needed column is missing."""
     missing = [n for n in names if n not in df.columns]
@@ -44,21 +55,21 @@ def unlabelled(df: DataFrame) -> DataFrame:
 
 
 def apply_null_policy(df: DataFrame, policy: str, required: tuple[str, ...] = ("title", "content", "label")) -> DataFrame:
-    """``drop_any``, ``drop_required`` or ``fill`` (text to '', label to 0)."""
+    """``drop_any``, ``drop_required``, ``fill`` (text to '', label to 0) or ``fill_text`` (label stays null)."""
     if policy == "drop_any":
         return df.dropna("any")
     if policy == "drop_required":
         return require_columns(df, *required).dropna("any", subset=list(required))
-    if policy == "fill":
+    if policy in ("fill", "fill_text"):
         filled = {c: blank_if_null(F.col(c)) for c in ("title", "content") if c in df.columns}
         if "label" in df.columns:
-            filled["label"] = label_int(F.col("label"), null_as_zero=True)
+            filled["label"] = label_int(F.col("label"), null_as_zero=policy == "fill")
         return df.withColumns(filled)
     raise ValueError(f"unknown null policy {policy!r}")
 
 
-def cleaned_articles(df: DataFrame, whole_word: bool = False) -> DataFrame:
-    """Fill nulls, clean title and content, and add the joined ``text``."""
-    filled = apply_null_policy(require_columns(df, "title", "content"), "fill")
+def cleaned_articles(df: DataFrame, whole_word: bool = False, policy: str = "fill") -> DataFrame:
+    """Fill nulls by ``policy``, clean title and content, and add the joined ``text``."""
+    filled = apply_null_policy(require_columns(df, "title", "content"), policy)
     cleaned = filled.withColumns({c: clean_text(F.col(c), whole_word) for c in ("title", "content")})
     return cleaned.withColumn("text", join_text(F.col("title"), F.col("content")))

@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from presslens.sources.articles import cleaned_articles, normalise_headers
-from presslens.sources.csv import detect_encodings, read_csv, read_csv_detected
+from presslens.sources.articles import ARTICLE_SCHEMA
+from presslens.sources.csv import detect_encodings, load_articles, read_csv, read_csv_detected
 from presslens.sources.sinks import load_or_train, write_csv, write_metrics
 
 BODY = 'title,content,label\n"속보, ""사진""","본문\n둘째",1\n'
@@ -63,3 +64,35 @@ def test_load_or_train_scores_equally(spark, tmp_path):
     again = load_or_train(path, lambda: pytest.fail("trained twice"))
     a, b = (classify.score(m, dense, "article_id").orderBy("article_id").collect() for m in (first, again))
     assert a == b and all(0 <= r.prob <= 1 and r.pred == r.article_id % 2 for r in a)
+
+
+def test_columns_go_by_name(spark, tmp_path):
+    path = tmp_path / "a.csv"
+    path.write_text("label,본문,article_id,Title \n1,body,7,hello\nx,,8,\n", encoding="utf-8")
+    rows = read_csv(spark, str(path), schema=ARTICLE_SCHEMA).orderBy("article_id").collect()
+    assert [tuple(r) for r in rows] == [(7, "hello", "body", 1), (8, None, None, None)]
+    (tmp_path / "b.csv").write_text("title,content,label\nhello,body text,1\n", encoding="utf-8")
+    with pytest.raises(ValueError, match="article_id"):
+        read_csv(spark, str(tmp_path / "b.csv"), schema=ARTICLE_SCHEMA)
+
+
+def test_articles_from_mixed_files_without_ids(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("title,content,label\nhello,body,1\nhello,body,1\nhello,body,0\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("label,content,title\n0,other,x\n", encoding="utf-8")
+    (tmp_path / "c.csv").write_bytes("뉴스제목,본문\n속보,내용\n".encode("cp949"))
+    (tmp_path / "d.csv").write_text("title,content,label\n속보,utf16,1\n", encoding="utf-16")
+    first, again = (load_articles(spark, str(tmp_path)).orderBy("article_id").collect() for _ in range(2))
+    assert first == again and len({r.article_id for r in first}) == 6
+    assert sorted((r.title, r.content, r.label if r.label is not None else -1) for r in first) == sorted(
+        [("hello", "body", 1)] * 2 + [("hello", "body", 0), ("x", "other", 0), ("속보", "내용", -1), ("속보", "utf16", 1)]
+    )
+
+
+def test_headline_study_reads_plain_files(spark, tmp_path):
+    from presslens.plans.missions import headline_study
+
+    rows = [f"{'river boat' if i % 2 else 'vote law'} {i},{'river boat fish' if i % 4 < 2 else 'vote law seat'} {i},{int(i % 2 == (i % 4 >= 2))}" for i in range(80)]
+    (tmp_path / "a.csv").write_text("\n".join(["title,content,label", *rows]) + "\n", encoding="utf-8")
+    articles = load_articles(spark, str(tmp_path))
+    study = headline_study(articles, articles.drop("label"), regs=(0.01,), width=64)
+    assert study.scored.count() == 80

@@ -86,3 +86,23 @@ def test_streaming_scores_equal_batch_scores(spark, articles, tmp_path):
     want = {r.article_id: r for r in score_headlines(source, model, classifier).collect()}
     got = {r.article_id: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == want and len(got) == 240
+
+
+def test_word_vector_means_count_known_words_and_labels_stay_null(spark, articles):
+    from pyspark.ml.functions import vector_to_array
+
+    train = articles.where("article_id < 100")
+    test = spark.createDataFrame([(1, "river unseen unknown", "boat x y z", None), (2, "river", "boat", None)], "article_id bigint, title string, content string, label int")
+    train_f, test_f = missions.word_vector_features(train, train, test, dim=8, window=3, partitions=1)
+    a, b = test_f.select("article_id", "label", vector_to_array("dense").alias("v"), "cosine_similarity").orderBy("article_id").collect()
+    assert a.v == pytest.approx(b.v) and a.label is None and any(a.v)
+    half = train.withColumn("label", F.when(F.col("article_id") % 3 > 0, F.col("label")))
+    study = missions.word_vector_study(half, test.drop("label"), regs=(0.01,), dim=8, window=3, partitions=1)
+    assert study.scored.count() == 2
+
+
+def test_context_vectors_back_off_for_test_tokens(spark, articles):
+    train = articles.where("article_id < 100")
+    test = spark.createDataFrame([(1, "t", "rivers boating mayors")], "article_id bigint, title string, content string")
+    _, test_f = missions.context_features(train, train, test, dim=8, partitions=1)
+    assert test_f.first()["cos_vec_mean"] != 0
