@@ -18,6 +18,7 @@ from presslens.sources.csv import load_articles as load_files, read_csv, read_cs
 from presslens.sources.sinks import load_or_train, write_csv, write_metrics
 
 DIM = 64
+NGRAM_WIDTH = 2**12
 LATIN = "abcdefghijklmnopqrstuvwxyz"
 HANGUL = "가나다라마바사아자차카타파하거너더러머버서어저처커터"
 
@@ -573,17 +574,17 @@ def _scored(df: DataFrame, *extra: str) -> DataFrame:
 
 def ngram_clf(spark, sf):
     train, test = halves(labelled(spark, sf))
-    return _scored(missions.headline_study(train, test).scored, "cos_sim")
+    return _scored(missions.headline_study(train, test, width=NGRAM_WIDTH).scored, "cos_sim")
 
 
 def context_clf(spark, sf):
     train, test = halves(labelled(spark, sf))
-    return _scored(missions.context_study(train, test.drop("label")).scored, *missions.CONTEXT_FEATURES)
+    return _scored(missions.context_study(train, test.drop("label"), width=NGRAM_WIDTH, iterations=1).scored, *missions.CONTEXT_FEATURES)
 
 
 def vector_clf(spark, sf):
     train, test = halves(labelled(spark, sf))
-    return _scored(missions.word_vector_study(train, test).scored, "cosine_similarity")
+    return _scored(missions.word_vector_study(train, test, iterations=1).scored, "cosine_similarity")
 
 
 def embedding_clf(spark, sf):
@@ -593,12 +594,12 @@ def embedding_clf(spark, sf):
 
 def w2v_cosine(spark, sf):
     rows = articles(spark, sf)
-    (out,) = missions.word_vector_features(rows, rows)
+    (out,) = missions.word_vector_features(rows, rows, iterations=1)
     return out.select("article_id", r6(F.col("cosine_similarity")).alias("cosine_similarity"))
 
 
 def subword_vec(spark, sf):
-    v = wordvectors.subword_vectors(full_text(articles(spark, sf)), "tokens", dim=100)
+    v = wordvectors.subword_vectors(full_text(articles(spark, sf)), "tokens", dim=100, iterations=1)
     return v.select("token", r6(norm(F.col("vec"))).alias("v_norm"))
 
 
