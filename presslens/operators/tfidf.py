@@ -13,7 +13,7 @@ from functools import cached_property
 
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from presslens.functions.text import term_words, with_bigrams
 from presslens.functions.vector import (
@@ -23,11 +23,14 @@ from presslens.functions.vector import (
     sparse_parts,
     sparse_sum,
 )
+from presslens.operators.ordered import ranked
 from presslens.session import cut
 
 MAX_FEATURES = 50_000
 FEATURE_LIMIT = 1_000_000
 LONGEST_KEY = 64
+# Up to this many candidates are sorted in one task; more are ranked over range partitions.
+SORTABLE_TERMS = 500_000
 
 
 def terms(col: Column) -> Column:
@@ -76,6 +79,28 @@ def term_statistics(df: DataFrame, *text_cols: str) -> DataFrame:
     )
 
 
+def most_counted(statistics: DataFrame, limit: int, sortable: int = SORTABLE_TERMS) -> DataFrame:
+    """The ``limit`` terms of the highest ``cf``, ties by term, without a top-k that meets in one task.
+
+    Counting terms by ``cf`` finds the count below which nothing is kept; a corpus of n
+    tokens has under ``sqrt(2 n)`` different counts. Only terms at or above it are put in
+    order: by a plain sort where they were counted to be few, else by ranks over range
+    partitions, so a wide band of ties is never gathered.
+    """
+    written = cut(statistics)
+    above = Window.orderBy(F.col("cf").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    reached = written.groupBy("cf").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(above))
+    enough = F.when(F.col("upto") >= limit, F.col("upto"))
+    found = reached.agg(F.max("upto").alias("n"), F.min(enough).alias("held"), F.max_by("cf", -enough).alias("cf")).first()
+    if (found["n"] or 0) <= limit:
+        return written
+    order = [F.col("cf").desc(), F.col("term")]
+    held = written.where(F.col("cf") >= found["cf"])
+    if found["held"] <= sortable:
+        return held.orderBy(*order).limit(limit)
+    return ranked(held, order, "_rank").where(F.col("_rank") <= limit).drop("_rank")
+
+
 @dataclass
 class TfidfModel:
     """Kept terms with counts and idf, and the lookup built from them.
@@ -115,7 +140,7 @@ def fit_tfidf(df: DataFrame, *text_cols: str, max_features: int = MAX_FEATURES)
         raise ValueError(f"max_features must lie in 1..{FEATURE_LIMIT}: the vocabulary is sent to every executor")
     n_docs = df.count() * len(text_cols)
     idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0
-    kept = term_statistics(df, *text_cols).orderBy(F.col("cf").desc(), "term").limit(max_features)
+    kept = most_counted(term_statistics(df, *text_cols), max_features)
     table = cut(kept.withColumns({"idf": idf, "key": bounded_key(F.col("term"))}))
     rows = table.orderBy(F.col("cf").desc(), "term").select("key", "idf").collect()
     keys = [r["key"] for r in rows]
@@ -140,6 +165,21 @@ def tfidf_norm(df: DataFrame, model: TfidfModel, text_col: str, normalised: bool
     return out.withColumn("tfidf_norm", length).drop("_w")
 
 
+def unit_weights(df: DataFrame, model: TfidfModel, text_col: str, id_col: str = "article_id") -> DataFrame:
+    """``(id, term, weight)`` per known term of a text; the weights of a text have length 1."""
+    w = model.weights(df.select(id_col, text_col), text_col, "_w")
+    rows = w.select(id_col, sparse_norm(F.col("_w")).alias("_n"), _entries(F.col("_w")).alias("_pairs"))
+    known = rows.select(id_col, "_n", F.explode_outer("_pairs").alias("p")).where(F.col("p").isNotNull())
+    scaled = known.select(id_col, F.col("p.i").alias("term_index"), (F.col("p.v") / F.col("_n")).alias("weight"))
+    return scaled.join(model.index(), "term_index").select(id_col, "term", "weight")
+
+
+def _entries(vector: Column) -> Column:
+    """A sparse vector as an array of (i, v)."""
+    parts = sparse_parts(vector)
+    return F.arrays_zip(parts["indices"].alias("i"), parts["values"].alias("v"))
+
+
 def centroid(df: DataFrame, model: TfidfModel, text_col: str) -> DataFrame:
     """Mean L2-normalised weight per known term that occurs: ``(term, term_index, mean_weight)``.
 
@@ -148,10 +188,8 @@ def centroid(df: DataFrame, model: TfidfModel, text_col: str) -> DataFrame:
     """
     w = model.weights(df.select(text_col), text_col, "_w")
     n_rows = df.count()
-    parts = sparse_parts(F.col("_w"))
-    pairs = F.arrays_zip(parts["indices"].alias("i"), parts["values"].alias("v"))
     # The norm is taken before the explode; beside it, it would be taken per term.
-    rows = w.select(sparse_norm(F.col("_w")).alias("_n"), pairs.alias("_pairs"))
+    rows = w.select(sparse_norm(F.col("_w")).alias("_n"), _entries(F.col("_w")).alias("_pairs"))
     means = (
         rows.select("_n", F.explode_outer("_pairs").alias("p"))
         .where(F.col("p").isNotNull())

@@ -212,6 +212,8 @@ d AS (SELECT article_id, sum(w * m) / (sqrt(sum(w * w)) * (SELECT sqrt(sum(m * m
 SELECT a.article_id, {r6('coalesce(d.c, 0)', 'cos_tfidf_mean')} FROM articles a LEFT JOIN d USING (article_id)""",
     "tfidf_norm": f"""WITH {tfidf('content')}, nrm AS (SELECT article_id, sqrt(sum(w * w)) AS n FROM w GROUP BY article_id)
 SELECT a.article_id, {r6('coalesce(n, 0)', 'tfidf_norm')} FROM articles a LEFT JOIN nrm USING (article_id)""",
+    "tfidf_weights": f"""WITH {tfidf('content')}, nrm AS (SELECT article_id, sqrt(sum(w * w)) AS n FROM w GROUP BY article_id)
+SELECT article_id, term, {r6('w / n', 'weight')} FROM w JOIN nrm USING (article_id)""",
     "stacked_texts": f"WITH {tfidf('title', 'content')} SELECT side, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM stacked GROUP BY side",
     **{
         key: f"""WITH {ARTICLES}, t AS (SELECT article_id, {tokens("(title || ' ' || content)")} AS tokens FROM articles)

@@ -240,6 +240,12 @@ def centroid_cosine(spark, sf):
     return out.select("article_id", r6(F.col("cos_tfidf_mean")).alias("cos_tfidf_mean"))
 
 
+def tfidf_weights(spark, sf):
+    a = articles(spark, sf)
+    out = tfidf.unit_weights(a, tfidf.fit_tfidf(a, "content"), "content")
+    return out.select("article_id", "term", r6(F.col("weight")).alias("weight"))
+
+
 def tfidf_norm(spark, sf):
     a = articles(spark, sf)
     out = tfidf.tfidf_norm(a, tfidf.fit_tfidf(a, "content"), "content")
@@ -626,7 +632,7 @@ QUERIES = {
         clean_pages, article_text, clean_articles, normalised_articles, unlabelled_articles, head_preview, drop_nulls,
         drop_required, label_domain, null_rates, table_shape, duplicates, tfidf_terms, title_content_cosine, cosine_topk,
         cosine_bottomk, cosine_describe, cosine_hist, cosine_hist_by_label, cosine_by_label, cosine_kde,
-        cosine_kde_overall, centroid_terms, centroid_cosine, tfidf_norm, stacked_texts, tok_words, tok_space, tok_terms,
+        cosine_kde_overall, centroid_terms, centroid_cosine, tfidf_norm, tfidf_weights, stacked_texts, tok_words, tok_space, tok_terms,
         token_counts, vocab_freq, vocab_capped, ids_head256, ids_tail500, pair_ids, embedding_matrix,
         in_vocabulary_tokens, sentence_vec, sentence_cosine, mean_vec_cosine, mean_sentence_vec, oov_backoff,
         pair_embedding_cosine, class_weights, split_hash, split_quota, split_tail, one_hot, softmax_score, decide,

@@ -76,6 +76,32 @@ def test_centroid_and_norm(df):
         assert one[i] == (1.0 if w else 0.0)
 
 
+def test_unit_weights(df):
+    fit = brute(sides=(2,))
+    model = tfidf.fit_tfidf(df, "content")
+    got = {(r.article_id, r.term): r.weight for r in tfidf.unit_weights(df, model, "content").collect()}
+    want = {}
+    for i, _, content in TEXTS:
+        w = weights(content, fit)
+        want |= {(i, t): x / math.sqrt(sum(y * y for y in w.values())) for t, x in w.items()}
+    assert got == {k: pytest.approx(x) for k, x in want.items()}
+
+
+@pytest.mark.parametrize("sortable", [0, 100])
+@pytest.mark.parametrize("limit", [1, 2, 4, 6])
+def test_most_counted_cuts_ties_by_term(spark, limit, sortable):
+    counts = {"b": 3, "a": 3, "c": 2, "f": 1, "e": 1, "d": 1}
+    stats = spark.createDataFrame([(t, 1, n) for t, n in counts.items()], "term string, df long, cf long")
+    kept = tfidf.most_counted(stats, limit, sortable)
+    assert {r.term for r in kept.collect()} == set("abcdef"[:limit])
+    if not sortable:
+        assert "TakeOrdered" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_most_counted_of_nothing(spark):
+    assert tfidf.most_counted(spark.createDataFrame([], "term string, df long, cf long"), 5).count() == 0
+
+
 def test_long_terms_are_kept_whole(spark):
     word = "x" * 500
     df = spark.createDataFrame([(1, word, f"{word} yy"), (2, "yy", "zz")], "article_id bigint, title string, content string")
