@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from presslens.operators.ordered import quantiles
 
+DENSITY_GROUPS = 1000
+
 
 def null_rates(df: DataFrame, *columns: str) -> DataFrame:
     """One row: percent of nulls per column."""
@@ -95,35 +101,54 @@ def histogram(df: DataFrame, col: str, bins: int = 50, by: str | None = None) ->
 def density(df: DataFrame, col: str, by: str | None = None, points: int = 200, cut: float = 3.0) -> DataFrame:
     """``([by], point, x, density)``: Gaussian kernel density with Scott's bandwidth.
 
-    The grid reaches ``cut`` bandwidths past the data. Equal scores are counted
-    together, then every score adds to the grid sums of its task, so the shuffle
-    carries ``points`` rows per task and group. Groups of one value are left out.
+    The grid reaches ``cut`` bandwidths past the data. Scores stay where they lie: each
+    task adds its own to one grid of sums, batch by batch, and the shuffle carries
+    ``points`` rows per task and group. Groups of one value are left out; over
+    ``DENSITY_GROUPS`` groups are an error.
     """
+    spark = df.sparkSession
     keys = [by] if by is not None else []
     rows = df.where(F.col(col).isNotNull() & (F.col(by).isNotNull() if by else F.lit(True)))
-    scores = rows.groupBy(*keys, F.col(col).cast("double").alias("v")).agg(F.count("*").alias("weight"))
     stats = rows.groupBy(*keys).agg(
         F.count("*").alias("n"), F.stddev_samp(col).alias("std"), F.min(col).alias("lo"), F.max(col).alias("hi")
     ).where(F.col("std") > 0)
     h = F.col("std") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
-    grid = stats.select(
-        *keys, "n", h.alias("h"), (F.col("lo") - cut * h).alias("start"),
-        ((F.col("hi") - F.col("lo") + 2 * cut * h) / (points - 1)).alias("step"),
+    step = (F.col("hi") - F.col("lo") + 2 * cut * h) / (points - 1)
+    grids = stats.select(*keys, "n", h.alias("h"), (F.col("lo") - cut * h).alias("start"), step.alias("step")).limit(DENSITY_GROUPS + 1).collect()
+    if len(grids) > DENSITY_GROUPS:
+        raise ValueError(f"over {DENSITY_GROUPS} groups")
+    key_type = df.schema[by].dataType.simpleString() if by is not None else "int"
+    listed = [(k, r[by] if by is not None else 0, r["n"], float(r["h"]), float(r["start"]), float(r["step"])) for k, r in enumerate(grids)]
+    known = F.broadcast(spark.createDataFrame(listed, f"g int, _key {key_type}, n long, h double, start double, step double"))
+    placed = rows.select((F.col(by) if by is not None else F.lit(0)).alias("_key"), F.col(col).cast("double").alias("v"))
+    sums = placed.join(known.select("g", "_key"), "_key").select("g", "v").mapInArrow(
+        _grid_sums([x[3:] for x in listed], points), "g int, point int, total double"
     )
-    if by is not None:
-        # One row per class: the grouping column is a label or a decision.
-        placed = scores.join(F.broadcast(grid), by)
-    else:
-        one = grid.select(F.struct("n", "h", "start", "step")).scalar()
-        placed = scores.withColumn("g", one).select("v", "weight", "g.*").where(F.col("h").isNotNull())
-    at = placed.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     x = F.col("start") + F.col("step") * F.col("point")
-    z = (x - F.col("v")) / F.col("h")
-    total = F.sum(F.col("weight") * F.exp(-z * z / 2))
     scale = F.col("n") * F.col("h") * F.sqrt(2 * F.pi())
-    return at.groupBy(*keys, "point", x.alias("x"), scale.alias("scale")).agg(total.alias("total")).select(
-        *keys, "point", "x", (F.col("total") / F.col("scale")).alias("density")
-    )
+    totals = sums.groupBy("g", "point").agg(F.sum("total").alias("total")).join(known, "g")
+    return totals.select(*[F.col("_key").alias(k) for k in keys], "point", x.alias("x"), (F.col("total") / scale).alias("density"))
+
+
+def _grid_sums(grids: list[tuple[float, float, float]], points: int):
+    """Per task and group, the sum of every score's kernel at every grid point."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            group, value = batch.column("g").to_numpy(), batch.column("v").to_numpy()
+            for g in np.unique(group).tolist():
+                h, start, step = grids[g]
+                at = start + step * np.arange(points)
+                mine = value[group == g]
+                for k in range(0, len(mine), 4096):
+                    z = (at - mine[k : k + 4096, None]) / h
+                    totals[g] = totals.get(g, 0) + np.exp(-z * z / 2).sum(0)
+        for g, total in totals.items():
+            columns = [pa.array(np.full(points, g, np.int32)), pa.array(np.arange(points, dtype=np.int32)), pa.array(total)]
+            yield pa.RecordBatch.from_arrays(columns, ["g", "point", "total"])
+
+    return run
 
 
 def top_k(df: DataFrame, feature: str, k: int, id_col: str = "article_id", lowest: bool = False) -> DataFrame:
