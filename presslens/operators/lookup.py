@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from presslens.operators.tfidf import bounded_key
 from presslens.session import cut
 
 # A table is broadcast whole only if it was measured to be smaller than this.
 BROADCAST_BYTES = 64 * 2**20
-# Beyond that, what is broadcast is bounded by 20,000 keys of at most 64 characters.
+# Beyond that, what is broadcast is bounded by as many keys; one over 64 characters goes by its digest.
 HOT_KEYS = 20_000
-HOT_KEY_LENGTH = 64
 
 
 def hot_keys(rows: DataFrame, key: str) -> DataFrame:
-    """The most frequent keys of ``rows``, counted with map-side combine."""
-    counts = rows.where(F.length(key) <= HOT_KEY_LENGTH).groupBy(key).count()
-    return cut(counts.orderBy(F.col("count").desc(), key).limit(HOT_KEYS).select(key))
+    """``_key``: the keys of ``rows`` with more than 1/HOT_KEYS of them, so fewer than HOT_KEYS.
+
+    Rows are counted with map-side combine; nothing is put in order.
+    """
+    counts = cut(rows.where(F.col(key).isNotNull()).groupBy(bounded_key(F.col(key)).alias("_key")).agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.where(F.col("n") * HOT_KEYS > total).select("_key")
 
 
 def fits_broadcast(table: DataFrame, key: str, payload_bytes: int) -> bool:
@@ -25,23 +29,21 @@ def fits_broadcast(table: DataFrame, key: str, payload_bytes: int) -> bool:
     return (size or 0) <= BROADCAST_BYTES
 
 
-def lookup(
-    rows: DataFrame, key: str, table: DataFrame, payload_bytes: int, keep_missing: bool = False, hot: DataFrame | None = None
-) -> DataFrame:
+def lookup(rows: DataFrame, key: str, table: DataFrame, payload_bytes: int, keep_missing: bool = False) -> DataFrame:
     """Join ``rows`` to ``table``, whose ``key`` is unique; rows without a key stay only with ``keep_missing``.
 
-    A table measured to be small is broadcast. With a large one, hot keys meet a
-    broadcast slice of it and are never shuffled; what is left has no key with
-    more than 1/HOT_KEYS of the rows and joins by shuffle. Long keys always take
-    the shuffle. ``hot`` (at most ``HOT_KEYS`` rows) names the frequent keys if
-    they are known. Pass a table that is cheap to read twice.
+    A table measured to be small is broadcast. With a large one, the hot keys of ``rows``,
+    whether the table knows them or not, meet a broadcast slice of it and are never
+    shuffled; what is left has no key with more than 1/HOT_KEYS of the rows and joins by
+    shuffle. Measuring and counting run jobs while the plan is built. Pass rows and a
+    table that are cheap to read again.
     """
     how = "left" if keep_missing else "inner"
     if fits_broadcast(table, key, payload_bytes):
         return rows.join(F.broadcast(table), key, how)
-    hot = hot_keys(rows, key) if hot is None else hot.select(key).limit(HOT_KEYS)
-    slice_of_table = table.join(F.broadcast(hot), key, "left_semi")
-    marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
+    hot = hot_keys(rows, key)
+    slice_of_table = table.withColumn("_key", bounded_key(F.col(key))).join(F.broadcast(hot), "_key", "left_semi").drop("_key")
+    marked = rows.withColumn("_key", bounded_key(F.col(key))).join(F.broadcast(hot.withColumn("_hot", F.lit(True))), "_key", "left").drop("_key")
     # Rows without a key would all meet in one task, so they stay with the hot ones.
     stays = F.col("_hot").isNotNull() | F.col(key).isNull()
     near = marked.where(stays).drop("_hot").join(F.broadcast(slice_of_table), key, how)

@@ -2,31 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from presslens.session import cut, few_rows
 
 
 def running_totals(df: DataFrame, order: list[Column], totals: dict[str, str]) -> DataFrame:
-    """Add, per entry ``out: column``, the sum of ``column`` over all rows up to this one.
+    """Add, per entry ``out: column``, the sum of ``column`` over all rows up to this one; nulls add nothing.
 
-    Rows are range-partitioned in ``order`` (which must be unique) and written
-    once, because range bounds come from a sample that a second run could draw
-    differently. Each slice is summed on its own; only the slice totals, one row
-    per partition, are added up in one task.
+    Rows are shuffled once: range-partitioned and sorted in ``order`` (which must be
+    unique) and written, because range bounds come from a sample that a second run could
+    draw differently. Each slice is summed where it lies, in Arrow batches; only the slice
+    totals, one row per partition, are added up in one task.
     """
     columns = df.columns
-    sliced = cut(df.repartitionByRange(*order).withColumn("_slice", F.spark_partition_id()))
+    in_order = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    sliced = cut(in_order.withColumn("_slice", F.spark_partition_id()))
     slice_sums = sliced.groupBy("_slice").agg(*[F.sum(c).alias(o) for o, c in totals.items()])
+    kinds = {o: slice_sums.schema[o].dataType for o in totals}
     earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = slice_sums.select(
-        "_slice", *[F.coalesce(F.sum(o).over(earlier), F.lit(0)).alias(f"_before_{o}") for o in totals]
-    )
-    within = Window.partitionBy("_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return sliced.join(F.broadcast(offsets), "_slice").select(
-        *columns, *[(F.sum(c).over(within) + F.col(f"_before_{o}")).alias(o) for o, c in totals.items()]
+        "_slice", *[F.coalesce(F.sum(o).over(earlier), F.lit(0)).cast(kind).alias(f"_before_{o}") for o, kind in kinds.items()]
     )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        upto: dict[str, pa.Scalar] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            arrays = [batch.column(c) for c in columns]
+            for out, c in totals.items():
+                before = batch.column(f"_before_{out}")
+                steps = pc.fill_null(batch.column(c).cast(before.type), pa.scalar(0).cast(before.type))
+                sums = pc.add(pc.cumulative_sum(steps), upto.get(out, before[0])).cast(before.type)
+                upto[out] = sums[-1]
+                arrays.append(sums)
+            yield pa.RecordBatch.from_arrays(arrays, [*columns, *totals])
+
+    placed = sliced.join(F.broadcast(offsets), "_slice").select(*columns, *[f"_before_{o}" for o in totals])
+    return placed.mapInArrow(run, T.StructType([*df.schema.fields, *[T.StructField(o, kind) for o, kind in kinds.items()]]))
+
 
 def ranked(df: DataFrame, order: list[Column], out_col: str) -> DataFrame:
     """Add the 1-based position in ``order``."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from presslens.operators.lookup import HOT_KEY_LENGTH, HOT_KEYS, lookup
+from presslens.operators.lookup import lookup
 from presslens.operators.vocabulary import CLS, SEP
 
 HEAD_LENGTH = 256
@@ -37,8 +37,7 @@ def numericalize(
     """``(id, *keep, ids)``: token ids cut to ``length`` and padded with 0.
 
     Tokens are cut before they are looked up, so a text of any size sends at
-    most ``length`` rows. The vocabulary's own order names its hot tokens. With
-    ``num_words`` every id from there on reads as unknown.
+    most ``length`` rows. With ``num_words`` every id from there on reads as unknown.
     """
     cut_tokens = {"head": keep_head, "tail": keep_tail}[truncate](F.col(tokens_col), length)
     short = df.select(id_col, *keep, cut_tokens.alias("tokens"))
@@ -46,7 +45,7 @@ def numericalize(
     if num_words is not None:
         table = table.where(F.col("id") < num_words)
     rows = short.select(id_col, *keep, F.posexplode_outer("tokens").alias("pos", "token"))
-    found = lookup(rows, "token", table, payload_bytes=16, keep_missing=True, hot=hot_vocabulary(vocabulary))
+    found = lookup(rows, "token", table, payload_bytes=16, keep_missing=True)
     known = F.when(F.col("pos").isNotNull(), F.coalesce(F.col("id"), F.lit(unknown_id)).cast("bigint"))
     # At most `length` entries per text; the row of an empty text adds none.
     listed = F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", known.alias("id")))))
@@ -54,11 +53,6 @@ def numericalize(
     return ids.withColumn("ids", pad_right(F.col("ids"), length))
 
 
-def hot_vocabulary(vocabulary: DataFrame) -> DataFrame:
-    """The most frequent short tokens; ids are given out by falling count."""
-    return vocabulary.where((F.col("id") < HOT_KEYS) & (F.length("token") <= HOT_KEY_LENGTH)).select("token")
-
-
 def pair_lengths(title_len: Column, content_len: Column, budget: int) -> tuple[Column, Column]:
     """How much of each side stays when the longer one loses a token at a time."""
     half_up, half_down = (budget + 1) // 2, budget // 2

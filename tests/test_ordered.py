@@ -17,6 +17,18 @@ def test_running_totals_match_numpy(spark):
     assert got == want.tolist()
 
 
+def test_running_totals_shuffle_rows_once_and_skip_nulls(spark):
+    rows = [(i, None if i % 3 == 0 else i, i / 4) for i in range(50)]
+    df = spark.createDataFrame(rows, "k int, n int, x double")
+    out = running_totals(df, [F.col("k")], {"n_upto": "n", "x_upto": "x"})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and plan.count("Exchange hashpartitioning") <= 1  # of slice sums alone
+    assert dict(out.dtypes)["n_upto"] == "bigint"
+    got = out.orderBy("k").collect()
+    assert [r.n_upto for r in got] == np.cumsum([n or 0 for _, n, _ in rows]).tolist()
+    assert [r.x_upto for r in got] == pytest.approx(np.cumsum([x for *_, x in rows]).tolist())
+
+
 def test_rank_spreads_over_slices(spark):
     df = spark.range(0, 40000, 2).withColumn("id", F.col("id") * 7919 % 40009)
     out = ranked(df, [F.col("id")], "place")

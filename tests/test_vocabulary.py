@@ -86,6 +86,16 @@ def test_lookup_is_the_same_for_hot_and_cold_keys(spark, monkeypatch):
         assert sorted(map(tuple, kept.collect()), key=repr) == want_left
 
 
+def test_hot_keys_come_from_the_rows_whatever_their_length(spark, monkeypatch):
+    """A key that the table lacks and a long one are hot by their share of the rows."""
+    monkeypatch.setattr(lookup, "HOT_KEYS", 5)
+    long = "y" * 300
+    keys = ["unseen"] * 40 + [long] * 30 + [f"k{i}" for i in range(30)] + [None] * 50
+    rows = spark.createDataFrame(list(enumerate(keys)), "id bigint, token string")
+    hot = {r[0] for r in lookup.hot_keys(rows, "token").collect()}
+    assert "unseen" in hot and len(hot) == 2 and all(len(k) <= 65 for k in hot)
+
+
 def test_embedding_matrix(spark):
     vocab = spark.createDataFrame([("<pad>", 0), ("<unk>", 1), ("a", 2)], "token string, id bigint")
     vectors = spark.createDataFrame([("a", [1.0, 2.0]), ("<pad>", [9.0, 9.0])], "token string, vec array<float>")
