@@ -5,13 +5,15 @@ several orders, and each order is sorted: neighbours with a long common prefix a
 near-duplicates. Every row looks at the ``WINDOW`` rows after it that share at least one
 value, so the prefix it takes adapts to the region: where many texts are alike the rows in
 reach share many values, elsewhere few. A one-bit sketch and the sizes drop most false
-neighbours on the spot; the best ``NEAREST`` of each order become candidates.
+neighbours on the spot; the best ``NEAREST`` of each order become candidates. Rows for which
+the window or this list was too short are marked and go through an exact join as well.
 
 Candidates are confirmed on full sets, nearest first: once two texts are known to be in one
 component their pair needs no check, the others get theirs. A candidate that fails
 proposes the best linked text of the other side's component instead, so a copy that is near
 only to the common original of a large group finds it; this goes on until nothing new turns
-up. Null texts count as empty; texts without words have no shingles and no links.
+up. Then the marked rows are joined on their rarest shingles (prefix filter): any two of them
+in different components that may still be linked are counted in full. Null texts count as empty; texts without words have no shingles and no links.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from presslens.llm.common import bounded_sample
 from presslens.llm.components import components, saved
 
 WIDTH = 5
@@ -32,11 +35,16 @@ VALUES = 128
 ORDERS = 16
 DEPTH = 16
 WINDOW = 64
+REACH = WINDOW + 1
 NEAREST = 4
 SKETCH_LIMIT = 26
 ROWS_PER_TASK = 2000
 BROADCAST_IDS = 500_000
 CHUNK_BYTES = 1_000_000
+SAMPLE_ROWS = 4000
+COMMON_SHINGLES = 500_000
+SALT_ROWS = 512
+BLOCK_ROWS = 256
 
 _RNG = np.random.default_rng(20240)
 _TABLE = _RNG.integers(0, 2**64, 256, np.uint64)
@@ -181,9 +189,12 @@ class _Rows:
         self.size = column("n").to_numpy()
         self.sketch = np.frombuffer(b"".join(column("sketch").to_pylist()), np.uint64).reshape(self.n, -1)
 
-    def nearest(self, upto: int, share: float, begin: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(id, id, sketch distance) of rows ``begin``..``upto`` with the best of the ``WINDOW`` rows after them."""
-        out = []
+    def nearest(self, upto: int, share: float, begin: int = 0) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+        """(id, id, sketch distance) of rows ``begin``..``upto`` with the best of the ``WINDOW`` rows after them, and marked ids.
+
+        A pair that the window or the list of the best leaves out has both its ids marked.
+        """
+        out, marked = [], []
         for a in range(begin, upto, 2000):
             i = np.arange(a, min(a + 2000, upto))
             j = i[:, None] + np.arange(1, WINDOW + 1)
@@ -199,17 +210,26 @@ class _Rows:
             r, c = np.nonzero(np.take_along_axis(good, best, 1))
             c = best[r, c]
             out.append((self.id[i[r]], self.id[j[r, c]], far[r, c]))
-        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+            over = good.sum(1) > NEAREST
+            beyond = i[i + REACH < self.n]
+            beyond = beyond[self.group[beyond] == self.group[beyond + REACH]]
+            marked += [self.id[i[over]], self.id[j[over][good[over]]], self.id[beyond], self.id[beyond + REACH]]
+        ids = np.unique(np.concatenate(marked)) if marked else np.zeros(0, np.int64)
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3, ids
 
 
 def _neighbours(share: float):
-    """Within a task, rows in order give pairs; its first and last rows are handed on for the borders."""
+    """Within a task, rows in order give pairs (kind 0) and marks (kind 3); its first and last rows are handed on for the borders."""
     names = ["kind", "border", "a", "b", "far", *(x.split()[0] for x in ROW.split(", "))]
 
-    def pairs(a, b, far) -> pa.RecordBatch:
+    def pairs(a, b, far, kind: int = 0) -> pa.RecordBatch:
         n = len(a)
         nothing = [pa.nulls(n, t) for t in (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary())]
-        return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.int32()), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(far), *nothing], names)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.nulls(n, pa.int32()), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(far), *nothing], names)
+
+    def seen(found, marked, before: np.ndarray) -> tuple[list[pa.RecordBatch], np.ndarray]:
+        new = np.setdiff1d(marked, before, assume_unique=True)
+        return [pairs(*found), pairs(new, new, np.zeros(len(new), np.int64), 3)], marked
 
     def handed(rows: pa.Table, kind: int, border: int) -> list[pa.RecordBatch]:
         n = rows.num_rows
@@ -219,21 +239,23 @@ def _neighbours(share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         held, head = None, None
+        marked = np.zeros(0, np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([batch])
-            head = table if head is None else head if head.num_rows >= WINDOW else pa.concat_tables([head, table])
+            head = table if head is None else head if head.num_rows >= REACH else pa.concat_tables([head, table])
             held = table if held is None else pa.concat_tables([held, table])
-            if held.num_rows > WINDOW:
-                upto = held.num_rows - WINDOW
-                yield pairs(*_Rows(held).nearest(upto, share))
+            if held.num_rows > REACH:
+                upto = held.num_rows - REACH
+                out, marked = seen(*_Rows(held).nearest(upto, share), marked)
+                yield from out
                 held = held.slice(upto)
         if held is None:
             return
-        yield pairs(*_Rows(held).nearest(held.num_rows, share))
-        yield from handed(head.slice(0, WINDOW), 1, part)
-        yield from handed(held.slice(max(0, held.num_rows - WINDOW)), 2, part + 1)
+        yield from seen(*_Rows(held).nearest(held.num_rows, share), marked)[0]
+        yield from handed(head.slice(0, REACH), 1, part)
+        yield from handed(held.slice(max(0, held.num_rows - REACH)), 2, part + 1)
 
     return run
 
@@ -241,23 +263,30 @@ def _neighbours(share: float):
 def _border(share: float):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("tree", "ascending"), ("key", "ascending"), ("id", "ascending")])
-        a, b, far = _Rows(table).nearest(table.num_rows, share)
+        (a, b, far), marked = _Rows(table).nearest(table.num_rows, share)
+        a, b, far = np.concatenate([a, marked]), np.concatenate([b, marked]), np.concatenate([far, np.zeros(len(marked), np.int64)])
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "far": far})
 
     return run
 
 
-def candidates(classes: DataFrame, share: float) -> DataFrame:
-    """(a, b, far): likely near-duplicates among ``classes`` (id, n, signature, sketch), a under b."""
+def candidates(classes: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
+    """(a, b, far): likely near-duplicates among ``classes`` (id, n, signature, sketch), a under b; and the marked ids."""
     rows = classes.count() * ORDERS
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(1, min(parts, rows // ROWS_PER_TASK))
     ordered = classes.select("id", "n", "signature", "sketch").mapInArrow(_orders, ROW)
     ordered = ordered.repartitionByRange(parts, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
     found = saved(ordered.mapInArrow(_neighbours(share), f"kind int, border int, a long, b long, far long, {ROW}"), "neighbours")
-    edges = found.where("kind > 0").groupBy("border").applyInArrow(_border(share), "a long, b long, far long")
+    handed = found.where("kind in (1, 2)")
+    edges = saved(handed.groupBy("border").applyInArrow(_border(share), "a long, b long, far long"), "edges")
     pairs = found.where("kind = 0").select("a", "b", "far").union(edges).where("a <> b")
-    return pairs.groupBy("a", "b").agg(F.min("far").alias("far"))
+    # rows on both sides of a task with less than a window's rows do not meet: all are marked
+    heads = dict(found.where("kind = 1").groupBy("border").count().collect())  # one row for each task
+    short = [p for p in range(max(heads, default=0) + 1) if heads.get(p, 0) < REACH]
+    around = handed.where(F.col("border").isin(sorted({q for p in short for q in (p, p + 1)}))).select("id")
+    marked = found.where("kind = 3").select(F.col("a").alias("id")).union(edges.where("a = b").select("a")).union(around)
+    return pairs.groupBy("a", "b").agg(F.min("far").alias("far")), marked.distinct()
 
 
 # ---- confirmation ----
@@ -323,6 +352,104 @@ def _proposals(failed: DataFrame, labels: DataFrame, hubs: DataFrame) -> DataFra
     return aimed.select(F.least("u", "hub").alias("a"), F.greatest("u", "hub").alias("b"), F.lit(0).cast("long").alias("far"))
 
 
+# ---- the exact join of marked rows ----
+
+
+def _shingle_rows(texts: DataFrame, name: str, fn, fields: str) -> DataFrame:
+    """Rows of ``fn``, from the id, component and shingles of every row of ``texts`` (id, component, text)."""
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+        for batch in batches:
+            ids, parts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i, c, s in zip(ids, parts, shingler.sets(batch.column(2).fill_null(""))):
+                if len(s):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in fn(i, c, s)], names)
+
+    return saved(texts.select("id", "component", "text").mapInArrow(run, fields), name)
+
+
+def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of a sample of the texts that two or more of them have, sorted, and how many have them."""
+    sample = bounded_sample(texts, "id", SAMPLE_ROWS, 11)
+    rows = _shingle_rows(sample, "sampled", lambda i, c, s: (s.view(np.int64),), "s long")
+    often = rows.groupBy("s").count().where("count > 1").orderBy(F.desc("count"), "s").limit(COMMON_SHINGLES).toArrow()
+    values = often.column("s").to_numpy().view(np.uint64)
+    order = np.argsort(values)
+    return values[order], often.column("count").to_numpy()[order]
+
+
+def _prefixes(texts: DataFrame, percent: int) -> DataFrame:
+    """(s, id, component, n, place): of every text the shingles one of which any linked text must share.
+
+    The order is one for all texts, rare shingles first; which sample it comes from does not
+    change the result, only how many pairs are counted.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(_common(texts))
+
+    def prefix(i: int, c: int, s: np.ndarray):
+        known, counts = shared.value
+        n = len(s)
+        often = np.zeros(n, np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+            often = np.where(known[at] == s, counts[at], 0)
+        k = n - -(-percent * n // 100) + 1
+        first = s[np.lexsort((s, often))[:k]].view(np.int64)
+        return first, np.full(k, i), np.full(k, c), np.full(k, n), np.arange(k)
+
+    return _shingle_rows(texts, "prefixes", prefix, "s long, id long, component long, n long, place long")
+
+
+def _counted(percent: int):
+    """Linked pairs of two blocks, from their pairs and texts; every set is made once."""
+
+    def run(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        ids = texts.column("id").to_numpy()
+        sets = list(Shingler().sets(texts.column("text").combine_chunks()))
+        size = np.array([len(s) for s in sets], np.int64)
+        _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        starts = np.cumsum(size) - size
+        order = np.argsort(ids)
+        a, b = (order[np.searchsorted(ids, pairs.column(c).to_numpy(), sorter=order)] for c in ("a", "b"))
+        mark = np.zeros(int(codes.max()) + 1, bool)
+        linked = np.zeros(len(a), bool)
+        by_a = np.argsort(a, kind="stable")
+        for some in np.split(by_a, np.flatnonzero(np.diff(a[by_a])) + 1):
+            x = a[some[0]]
+            own = codes[starts[x] : starts[x] + size[x]]
+            mark[own] = True
+            common = np.array([np.count_nonzero(mark[codes[starts[y] : starts[y] + size[y]]]) for y in b[some]])
+            mark[own] = False
+            linked[some] = 100 * common >= percent * (size[x] + size[b[some]] - common)
+        return pairs.select(["a", "b"]).filter(pa.array(linked))
+
+    return run
+
+
+def exact_links(texts: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all links between different components of ``texts`` (id, component, text), a under b."""
+    rows = _prefixes(texts, percent)
+    used = rows.groupBy("s").agg(F.count("*").alias("rows"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+    rows = saved(rows.join(used.select("s", "rows"), "s").withColumn("salts", F.ceil(F.col("rows") / SALT_ROWS).cast("int")), "shared")
+    left = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+    right = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    left, right = (side.select("s", "salt", *[F.col(c).alias(c + mark) for c in ("id", "component", "n", "place")]) for side, mark in ((left, "_a"), (right, "_b")))
+    # at the first shingle two prefixes share, the rest of either set bounds what is in common
+    reach = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    enough = (100 + percent) * reach >= percent * (F.col("n_a") + F.col("n_b"))
+    sized = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    apart = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b"))
+    pairs = left.join(right, ["s", "salt"]).where(apart & sized & enough).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    blocks = max(1, -(-texts.count() // BLOCK_ROWS))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    pairs = saved(pairs.withColumn("p", block("a")).withColumn("q", block("b")), "open_pairs")
+    asked = pairs.select("p", "q", F.explode(F.array("a", "b")).alias("id")).distinct()
+    asked = asked.join(texts.select("id", "text"), "id").select(F.col("p").alias("own_p"), F.col("q").alias("own_q"), "id", "text")
+    return pairs.groupBy("p", "q").cogroup(asked.groupBy("own_p", "own_q")).applyInArrow(_counted(percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``; ids are integers.
 
@@ -334,12 +461,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     known = features.where("n > 0 and doc_id is not null")
     best = F.min(F.struct("doc_id", "n", "signature", "sketch")).alias("c")
     classes = saved(known.groupBy("digest").agg(best).select("digest", F.col("c.doc_id").alias("id"), "c.n", "c.signature", "c.sketch"), "classes")
-    pairs = saved(candidates(classes, percent / 100), "candidates")
-    needed = saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "needed")
+    pairs, marked = (saved(x, name) for x, name in zip(candidates(classes, percent / 100), ("candidates", "marked")))
+    needed = saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(marked).distinct(), "needed")
     asked = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
     source = named.withColumnRenamed("doc_id", "id").join(asked, "id", "left_semi")
     texts = saved(source.groupBy("id").agg(F.min("text").alias("text")), "texts")
-    _, labels = links(pairs, texts, percent)
+    found, labels = links(pairs, texts, percent)
+    own = labels.withColumnRenamed("node", "id")
+    open_texts = texts.join(marked, "id").join(own, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    more = saved(exact_links(saved(open_texts, "open_texts"), percent), "exact_links")
+    if not more.isEmpty():
+        labels = saved(components(found.union(more)), "labels")
     by_class = classes.select("digest", "id").join(labels.withColumnRenamed("node", "id"), "id", "left")
     by_class = by_class.select("digest", F.coalesce("component", "id").alias("component_id"))
     rows = features.select("doc_id", F.col("n").alias("n_shingles"), "digest")

@@ -68,6 +68,29 @@ def test_components_are_those_of_all_pairs(spark, rows):
     assert got == slow_components(rows)
 
 
+def region(seed, size, pairs):
+    """Texts that share a passage at about 0.8, ``pairs`` of them with a copy at about 0.86."""
+    rng = random.Random(seed)
+    passage = [f"w{rng.randint(0, 9999)}" for _ in range(360)]
+    rows = []
+    for k in range(size):
+        text = passage + [f"u{k}x{i}" for i in range(45)]
+        rows.append(" ".join(text))
+        if k < pairs:
+            rows.append(" ".join(text[:375] + [f"v{k}x{i}" for i in range(30)]))
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_links_inside_a_large_region_are_found(spark):
+    rows = region(4, 300, 60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs).collect()}
+    want = slow_components(rows)
+    assert len({c for _, c in want.values()}) == 300
+    assert got == want
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(odd_docs(spark)).collect())
     assert [g for g in got if g[0] in (1, 2, 3)] == [(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True)]
