@@ -6,8 +6,8 @@ trained by gradient ascent on a small labelled table of tokens and decodes lines
 batches by Viterbi; its features are the shapes of a word and of its neighbours.
 
 A span needs a digit or an at sign in its line, so lines without either are left out of the
-decoding; spans that overlap a base span or fail their kind's plain test (digit counts,
-checksum) are dropped. Offsets are code points. Null texts count as empty: no spans.
+decoding; a run of words of one kind that overlaps a base span or fails its kind's plain test
+(digit counts, checksum) is split into its shortest pieces that pass, and the rest is dropped. Offsets are code points. Null texts count as empty: no spans.
 """
 
 from __future__ import annotations
@@ -346,6 +346,7 @@ def plausible(kind: str, text: str) -> bool:
     return len(text) >= 16 and digits >= 4 and " " not in text and any(c.isalpha() for c in text)
 
 
+PART = re.compile(r"[^\x20\x09-\x0D,;]+")
 TRIM = "\"'`,;:!?[]{}<>*#$%&|=. "
 
 
@@ -380,16 +381,53 @@ def spans_of(texts: Sequence[str], decoder: Decoder) -> list[tuple[list, list]]:
 def _kept(text: str, base: Sequence[tuple], added: Iterable[tuple]) -> list[tuple[str, int, int]]:
     taken = sorted((a, b) for _, a, b in base)
     out = []
+
+    def free(kind: str, a: int, b: int) -> bool:
+        return a < b and plausible(kind, text[a:b]) and not any(x < b and a < y for x, y in taken)
+
     for kind, a, b in added:
-        while a < b and text[a] in TRIM:
-            a += 1
-        while a < b and text[b - 1] in TRIM:
-            b -= 1
-        if a < b and plausible(kind, text[a:b]) and not any(x < b and a < y for x, y in taken):
+        a, b = _trimmed(text, a, b)
+        if free(kind, a, b):
             out.append((kind, a, b))
+        else:
+            out += [(kind, x, y) for x, y in _pieces(kind, text, a, b, free)]
     return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
+def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    while a < b and text[a] in TRIM:
+        a += 1
+    while a < b and text[b - 1] in TRIM:
+        b -= 1
+    return a, b
+
+
+def _hopeless(kind: str, text: str) -> bool:
+    """No longer text that begins with this one can be plausible."""
+    if kind == "email":
+        return text.count("@") > 1
+    if kind in ("card", "phone"):
+        return len(digits_of(text)) > (19 if kind == "card" else 15)
+    return " " in text
+
+
+def _pieces(kind: str, text: str, a: int, b: int, free) -> Iterable[tuple[int, int]]:
+    """The shortest pieces of a run that are free, from left to right; words end at commas and semicolons too."""
+    words = [(m.start(), m.end()) for m in PART.finditer(text, a, b)]
+    first = 0
+    while first < len(words):
+        after = first + 1
+        for last in range(first, len(words)):
+            x, y = _trimmed(text, words[first][0], words[last][1])
+            if free(kind, x, y):
+                yield x, y
+                after = last + 1
+                break
+            if _hopeless(kind, text[x:y]):
+                break
+        first = after
+
+
 def joined(spans: Iterable[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
