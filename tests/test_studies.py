@@ -106,3 +106,31 @@ def test_context_vectors_back_off_for_test_tokens(spark, articles):
     test = spark.createDataFrame([(1, "t", "rivers boating mayors")], "article_id bigint, title string, content string")
     _, test_f = missions.context_features(train, train, test, dim=8, partitions=1)
     assert test_f.first()["cos_vec_mean"] != 0
+
+
+def test_trained_queries_take_the_library_defaults(monkeypatch):
+    from presslens.plans import queries
+
+    asked = []
+
+    class Stop(Exception):
+        pass
+
+    def seen(*args, **options):
+        asked.append(set(options) & {"width", "iterations"})
+        raise Stop
+
+    for module, name in [(missions, "headline_study"), (missions, "context_study"), (missions, "word_vector_study"), (missions, "word_vector_features"), (queries.wordvectors, "subword_vectors")]:
+        monkeypatch.setattr(module, name, seen)
+    for name in ("articles", "labelled", "full_text"):
+        monkeypatch.setattr(queries, name, lambda *args: None)
+
+    class Rows:
+        def drop(self, *names):
+            return self
+
+    monkeypatch.setattr(queries, "halves", lambda rows: (Rows(), Rows()))
+    for name in ("ngram_clf", "context_clf", "vector_clf", "w2v_cosine", "subword_vec"):
+        with pytest.raises(Stop):
+            queries.QUERIES[name](None, None)
+    assert asked == [set()] * 5
