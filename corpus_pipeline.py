@@ -42,9 +42,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of 1024-token sequences with their token ids' checksum."""
+    """Pieces of 1024-token sequences: their token ids and the ids' checksum."""
     pieces = packing.pack(docs, tokenizer_definition(), window=1024)
-    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return pieces.withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [

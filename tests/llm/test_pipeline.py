@@ -1,5 +1,7 @@
 """The pipeline's stages, each held against what it must do to its own input."""
 
+import zlib
+
 import corpus_pipeline
 from presslens.llm import crf, mixing, neardup, rules
 from pyspark.sql import functions as F
@@ -42,3 +44,9 @@ def test_stages(spark, tmp_path):
     assert after.agg(F.countDistinct("doc_id")).first()[0] == before.select("doc_id").distinct().count()
     total, pieces = after.agg(F.sum("length"), F.max("sequence_id")).first()
     assert pieces == (total - 1) // 1024
+
+
+def test_packed_sequences_hold_their_ids(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (2, "four " * 2000)], "doc_id long, text string")
+    for r in corpus_pipeline.packed(spark, docs, SF).collect():
+        assert len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32
