@@ -21,7 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates; of rows with one id and text, one."""
-    found = neardup.near_duplicates(docs, percent=85)
+    found = neardup.near_duplicates(docs, percent=80)
     gone = found.where("not kept").select(F.col("doc_id").alias("_doc")).distinct()
     left = docs.join(gone, docs["doc_id"].cast("long") == F.col("_doc"), "left_anti")
     return left.dropDuplicates(["doc_id", "text"])

@@ -19,6 +19,7 @@ in different components that may still be linked are counted in full. Null texts
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,7 @@ DEPTH = 16
 WINDOW = 64
 REACH = WINDOW + 1
 NEAREST = 4
-SKETCH_LIMIT = 26
+SKETCH_SPREADS = 5.5
 ROWS_PER_TASK = 2000
 BROADCAST_IDS = 500_000
 CHUNK_BYTES = 1_000_000
@@ -71,6 +72,12 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def sketch_limit(share: float) -> int:
+    """The largest distance of one-bit sketches a linked pair is expected to have: its mean and ``SKETCH_SPREADS`` spreads."""
+    odds = (1 - share) / 2
+    return math.ceil(VALUES * odds + SKETCH_SPREADS * math.sqrt(VALUES * odds * (1 - odds)))
+
+
 class Shingler:
     """Distinct hashed shingles of the texts of an Arrow column, without a Python object for each word."""
 
@@ -204,7 +211,7 @@ class _Rows:
             for k in range(self.sketch.shape[1]):
                 far += np.bitwise_count(self.sketch[i, k][:, None] ^ self.sketch[j, k])
             x, y = self.size[i][:, None], self.size[j]
-            good = real & (self.group[i][:, None] == self.group[j]) & (np.minimum(x, y) >= share * np.maximum(x, y)) & (far <= SKETCH_LIMIT)
+            good = real & (self.group[i][:, None] == self.group[j]) & (np.minimum(x, y) >= share * np.maximum(x, y)) & (far <= sketch_limit(share))
             rank = np.where(good, far * (WINDOW + 1) + np.arange(WINDOW), 2**20)
             best = np.argpartition(rank, NEAREST, 1)[:, :NEAREST]
             r, c = np.nonzero(np.take_along_axis(good, best, 1))

@@ -50,3 +50,11 @@ def test_packed_sequences_hold_their_ids(spark):
     docs = spark.createDataFrame([(1, "one two three"), (2, "four " * 2000)], "doc_id long, text string")
     for r in corpus_pipeline.packed(spark, docs, SF).collect():
         assert len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32
+
+
+def test_near_copies_above_four_fifths_go(spark):
+    assert neardup.sketch_limit(0.85) == 26
+    words = [f"w{k}" for k in range(200)]
+    copy = [f"x{k}" if k in (20, 60, 100, 140) else w for k, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(copy)), (3, "other words stand here alone")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == [1, 3]
