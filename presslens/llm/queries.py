@@ -5,13 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from presslens.llm import crf, licences, merkle, mixing, neardup, packing, quality, rules, toxicity, urls
+from presslens.llm import crf, licences, merkle, mixing, neardup, packing, quality, ranked, rules, toxicity, urls, wavelet, whitening
 from presslens.llm.common import fold
 
 # Url rules and their verdicts; words that mark a host as spam.
 URL_RULES = urls.Rules({"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"})
 SPAM_WORDS = ("spam", "pills", "casino", "viagra", "farm", "cheap")
 TOKENIZER = "byte_bpe_50k.json"
+WORD_TOKENIZER = "word_bpe_49k.json"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -99,6 +100,18 @@ def source_mix(spark, sf):
     return mix.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def ranked_search(spark, sf):
+    return ranked.ranked(table(spark, sf, "documents"), table(spark, sf, "benchmark"), k=10)
+
+
+def token_files(spark, sf):
+    return wavelet.stored_documents(table(spark, sf, "documents"), tokenizer_definition(public_tokenizers.path(WORD_TOKENIZER)))
+
+
+def whitened_vectors(spark, sf):
+    return whitening.whitened(table(spark, sf, "embeddings"), wanted=32)
+
+
 def pipeline(spark, sf):
     import corpus_pipeline
 
@@ -116,6 +129,9 @@ QUERIES = {
     "op8_toxicity_scores": toxicity_scores,
     "op9_fingerprints": fingerprints,
     "op10_source_mix": source_mix,
+    "op11_ranked_search": ranked_search,
+    "op12_token_files": token_files,
+    "op13_whitening": whitened_vectors,
     "pipeline": pipeline,
 }
 
@@ -164,4 +180,17 @@ ORACLE = {
             FROM docs d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source)
         SELECT doc_id, size, source_size, round(target, 6) AS target, CASE WHEN source_size = 0 THEN 0
             ELSE given // source_size * size + greatest(0, least(size, given % source_size - before)) END::BIGINT AS taken FROM placed""",
+    "op11_ranked_search": r"""
+        WITH texts AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+        docs AS (SELECT r, doc_id, words, len(words)::BIGINT AS n FROM texts WHERE len(words) > 0),
+        totals AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM docs),
+        counts AS (SELECT r, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, n, unnest(words) AS term FROM docs) GROUP BY ALL),
+        items AS (SELECT q, item_id, unnest(list_distinct(words)) AS term FROM (SELECT row_number() OVER () AS q, item_id,
+            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM benchmark)),
+        weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM counts, totals GROUP BY term, n_docs),
+        scored AS (SELECT q, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+            FROM items JOIN counts USING (term) JOIN weights USING (term), totals GROUP BY q, item_id, r, doc_id),
+        ordered AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ordered WHERE rank <= 10""",
 }
