@@ -26,7 +26,7 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in after.collect()} == kept
 
     before, after = seen[1]
-    groups = neardup.near_duplicates(before).collect()
+    groups = neardup.near_duplicates(before, percent=80).collect()
     assert {r.doc_id for r in after.collect()} == {r.component_id for r in groups}
 
     before, after = seen[2]

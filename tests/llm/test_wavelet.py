@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from presslens.llm import wavelet
-from presslens.llm.queries import tokenizer_definition
+from presslens.llm.queries import QUERIES, tokenizer_definition
 from presslens.llm.wordids import WordIds
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -99,6 +99,14 @@ def test_documents_come_back_from_many_shards(spark, tmp_path):
     assert totals == {t: int((flat == t).sum()) for t in (alpha, 1, 49000)}
 
 
+def test_query_over_whole_table_equals_plain_encoding(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
+    ids = [np.array([*x, 1], "<u4") for x in plain_ids([r.text for r in docs])]
+    starts = np.cumsum([0] + [len(x) for x in ids])[:-1].tolist()
+    got = {tuple(r) for r in QUERIES["op12_token_files"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == {(r.doc_id, s, len(x), zlib.crc32(x.tobytes())) for r, s, x in zip(docs, starts, ids)}
+
+
 def test_no_documents_give_no_rows(spark):
     docs = spark.createDataFrame([], "doc_id int, text string")
     out = wavelet.stored_documents(docs, tokenizer_definition(WORDS))

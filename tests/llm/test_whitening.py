@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from presslens.llm import whitening as W
+from presslens.llm.queries import QUERIES
 
 SCHEMA = "vec_id long, embedding array<double>, label int"
 
@@ -40,6 +41,20 @@ def test_matches_numpy_on_vectors_with_far_apart_and_near_eigenvalues(spark):
     assert np.allclose(np.cov(table.T, bias=True), np.eye(8), atol=1e-9)
 
 
+def test_query_over_whole_table_equals_numpy(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").orderBy("vec_id").collect()
+    got = QUERIES["op13_whitening"](spark, "/root/testdata/sf0.001").collect()
+    n, dev, centred, e, v = plain([r.embedding for r in df])
+    place = {r.vec_id: i for i, r in enumerate(df)}
+    table = np.full((n, 32), np.nan)
+    for r in got:
+        i, k = place[r.vec_id], r.component - 1
+        table[i, k] = r.whitened
+        assert r.n == n and r.deviation == dev[i] and abs(r.explained / (e[k] / e.sum()) - 1) < 1e-9 and r.identity_error < 1e-9
+    want = centred @ v[:, :32] / np.sqrt(e[:32])
+    assert np.allclose(table * np.sign((table * want).sum(axis=0)), want, atol=1e-6) and len(got) == n * 32
+
+
 def determinant(m):
     m, out = [[Fraction(x) for x in r] for r in m], Fraction(1)
     for k in range(len(m)):
