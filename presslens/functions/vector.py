@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def _total(values: Column) -> Column:
@@ -27,22 +27,30 @@ def cosine_from(dot_product: Column, norm_a: Column, norm_b: Column) -> Column:
     return F.coalesce(F.when(length > 0, dot_product / length), F.lit(0.0))
 
 
-def sparse_parts(vector: Column) -> Column:
-    """``struct(type, size, indices, values)`` behind a sparse ML vector."""
-    return F.unwrap_udt(vector)
+def unwrapped(df: DataFrame, *cols: str) -> DataFrame:
+    """Sparse ML vectors as ``struct(type, size, indices, values)``, which the functions below take.
 
+    Unwrapping must be a projection of its own: inside a higher-order function it costs
+    milliseconds a row. The functions name the column twice, so the optimizer leaves it so.
+    """
+    return df.withColumns({c: F.unwrap_udt(c) for c in cols})
 
-def sparse_sum(vector: Column) -> Column:
-    return _total(sparse_parts(vector)["values"])
 
+def _if_any(parts: Column, value: Column) -> Column:
+    return F.when(F.size(parts["values"]) > 0, value).otherwise(F.lit(0.0))
 
-def sparse_norm(vector: Column) -> Column:
-    return norm(sparse_parts(vector)["values"])
+
+def sparse_sum(parts: Column) -> Column:
+    return _if_any(parts, _total(parts["values"]))
+
+
+def sparse_norm(parts: Column) -> Column:
+    return _if_any(parts, norm(parts["values"]))
 
 
 def sparse_dot(a: Column, b: Column) -> Column:
     """Dot product in one pass over both index sets (``map_zip_with`` hashes)."""
-    left = F.map_from_arrays(sparse_parts(a)["indices"], sparse_parts(a)["values"])
-    right = F.map_from_arrays(sparse_parts(b)["indices"], sparse_parts(b)["values"])
+    left = F.map_from_arrays(a["indices"], a["values"])
+    right = F.map_from_arrays(b["indices"], b["values"])
     products = F.map_values(F.map_zip_with(left, right, lambda _, x, y: x * y))
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))

@@ -10,16 +10,24 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from presslens.session import cut, few_rows
 
+# Up to this many counted rows are put in order by one task.
+SORTABLE_ROWS = 500_000
 
-def running_totals(df: DataFrame, order: list[Column], totals: dict[str, str]) -> DataFrame:
+
+def running_totals(df: DataFrame, order: list[Column], totals: dict[str, str], sortable: int = SORTABLE_ROWS) -> DataFrame:
     """Add, per entry ``out: column``, the sum of ``column`` over all rows up to this one; nulls add nothing.
 
-    Rows are shuffled once: range-partitioned and sorted in ``order`` (which must be
+    Rows are written and counted first. Few of them pass one window in one task; both ways
+    give the same rows. More are shuffled once: range-partitioned and sorted in ``order`` (which must be
     unique) and written, because range bounds come from a sample that a second run could
     draw differently. Each slice is summed where it lies, in Arrow batches; only the slice
     totals, one row per partition, are added up in one task.
     """
     columns = df.columns
+    df = cut(df)
+    if df.count() <= sortable:
+        upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.select(*columns, *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(o) for o, c in totals.items()])
     in_order = df.repartitionByRange(*order).sortWithinPartitions(*order)
     sliced = cut(in_order.withColumn("_slice", F.spark_partition_id()))
     slice_sums = sliced.groupBy("_slice").agg(*[F.sum(c).alias(o) for o, c in totals.items()])

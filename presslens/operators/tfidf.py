@@ -20,8 +20,8 @@ from presslens.functions.vector import (
     cosine_from,
     sparse_dot,
     sparse_norm,
-    sparse_parts,
     sparse_sum,
+    unwrapped,
 )
 from presslens.operators.ordered import ranked
 from presslens.session import cut
@@ -141,7 +141,11 @@ def fit_tfidf(df: DataFrame, *text_cols: str, max_features: int = MAX_FEATURES)
     n_docs = df.count() * len(text_cols)
     idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0
     kept = most_counted(term_statistics(df, *text_cols), max_features)
-    table = cut(kept.withColumns({"idf": idf, "key": bounded_key(F.col("term"))}))
+    return model_of(cut(kept.withColumns({"idf": idf, "key": bounded_key(F.col("term"))})), n_docs)
+
+
+def model_of(table: DataFrame, n_docs: int) -> TfidfModel:
+    """The model whose kept terms are in ``table``, fresh from fitting or read from a file."""
     rows = table.orderBy(F.col("cf").desc(), "term").select("key", "idf").collect()
     keys = [r["key"] for r in rows]
     counter = CountVectorizerModel.from_vocabulary(keys or [""], inputCol="key_list", outputCol="counts")
@@ -150,7 +154,7 @@ def fit_tfidf(df: DataFrame, *text_cols: str, max_features: int = MAX_FEATURES)
 
 def pair_cosine(df: DataFrame, model: TfidfModel, left: str, right: str, out_col: str = "cos_sim") -> DataFrame:
     """Cosine of two text columns of the same row; 0 when a side has no known term."""
-    both = model.weights(model.weights(df, left, "_left"), right, "_right")
+    both = unwrapped(model.weights(model.weights(df, left, "_left"), right, "_right"), "_left", "_right")
     left_v, right_v = F.col("_left"), F.col("_right")
     value = cosine_from(sparse_dot(left_v, right_v), sparse_norm(left_v), sparse_norm(right_v))
     return both.withColumn(out_col, value).drop("_left", "_right")
@@ -158,7 +162,7 @@ def pair_cosine(df: DataFrame, model: TfidfModel, left: str, right: str, out_col
 
 def tfidf_norm(df: DataFrame, model: TfidfModel, text_col: str, normalised: bool = False) -> DataFrame:
     """Length of the weight vector; ``normalised`` gives 1 (0 for no known term)."""
-    out = model.weights(df, text_col, "_w")
+    out = unwrapped(model.weights(df, text_col, "_w"), "_w")
     length = sparse_norm(F.col("_w"))
     if normalised:
         length = F.when(length > 0, F.lit(1.0)).otherwise(F.lit(0.0))
@@ -167,16 +171,15 @@ def tfidf_norm(df: DataFrame, model: TfidfModel, text_col: str, normalised: bool
 
 def unit_weights(df: DataFrame, model: TfidfModel, text_col: str, id_col: str = "article_id") -> DataFrame:
     """``(id, term, weight)`` per known term of a text; the weights of a text have length 1."""
-    w = model.weights(df.select(id_col, text_col), text_col, "_w")
+    w = unwrapped(model.weights(df.select(id_col, text_col), text_col, "_w"), "_w")
     rows = w.select(id_col, sparse_norm(F.col("_w")).alias("_n"), _entries(F.col("_w")).alias("_pairs"))
     known = rows.select(id_col, "_n", F.explode_outer("_pairs").alias("p")).where(F.col("p").isNotNull())
     scaled = known.select(id_col, F.col("p.i").alias("term_index"), (F.col("p.v") / F.col("_n")).alias("weight"))
     return scaled.join(model.index(), "term_index").select(id_col, "term", "weight")
 
 
-def _entries(vector: Column) -> Column:
-    """A sparse vector as an array of (i, v)."""
-    parts = sparse_parts(vector)
+def _entries(parts: Column) -> Column:
+    """A sparse vector's parts as an array of (i, v)."""
     return F.arrays_zip(parts["indices"].alias("i"), parts["values"].alias("v"))
 
 
@@ -186,7 +189,7 @@ def centroid(df: DataFrame, model: TfidfModel, text_col: str) -> DataFrame:
     Each task adds up its own rows first; at most one row per kept term and
     task is shuffled.
     """
-    w = model.weights(df.select(text_col), text_col, "_w")
+    w = unwrapped(model.weights(df.select(text_col), text_col, "_w"), "_w")
     n_rows = df.count()
     # The norm is taken before the explode; beside it, it would be taken per term.
     rows = w.select(sparse_norm(F.col("_w")).alias("_n"), _entries(F.col("_w")).alias("_pairs"))
@@ -206,6 +209,6 @@ def centroid_cosine(df: DataFrame, model: TfidfModel, mean: DataFrame, text_col:
         weights[row["term_index"]] = row["mean_weight"]
     mean_norm = sum(x * x for x in weights) ** 0.5
     out = model.weights(df, text_col, "_w")
-    out = ElementwiseProduct(scalingVec=Vectors.dense(weights), inputCol="_w", outputCol="_wm").transform(out)
+    out = unwrapped(ElementwiseProduct(scalingVec=Vectors.dense(weights), inputCol="_w", outputCol="_wm").transform(out), "_w", "_wm")
     value = cosine_from(sparse_sum(F.col("_wm")), sparse_norm(F.col("_w")), F.lit(mean_norm))
     return out.withColumn(out_col, value).drop("_w", "_wm")

