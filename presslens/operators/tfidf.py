@@ -13,7 +13,7 @@ from functools import cached_property
 
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from presslens.functions.text import term_words, with_bigrams
 from presslens.functions.vector import (
@@ -148,8 +148,14 @@ def model_of(table: DataFrame, n_docs: int) -> TfidfModel:
     """The model whose kept terms are in ``table``, fresh from fitting or read from a file."""
     rows = table.orderBy(F.col("cf").desc(), "term").select("key", "idf").collect()
     keys = [r["key"] for r in rows]
-    counter = CountVectorizerModel.from_vocabulary(keys or [""], inputCol="key_list", outputCol="counts")
-    return TfidfModel(table, n_docs, counter, keys, [r["idf"] for r in rows] or [0.0])
+    return TfidfModel(table, n_docs, _counter(table.sparkSession, keys or [""]), keys, [r["idf"] for r in rows] or [0.0])
+
+
+def _counter(spark: SparkSession, keys: list[str]) -> CountVectorizerModel:
+    """``CountVectorizerModel.from_vocabulary`` with the keys sent as one text; sent one by one they take seconds."""
+    array = spark.sparkContext._jvm.java.util.regex.Pattern.compile("\n").split("\n".join(keys), -1)
+    counter = CountVectorizerModel._create_from_java_class("org.apache.spark.ml.feature.CountVectorizerModel", array)
+    return counter.setInputCol("key_list").setOutputCol("counts")
 
 
 def pair_cosine(df: DataFrame, model: TfidfModel, left: str, right: str, out_col: str = "cos_sim") -> DataFrame:
