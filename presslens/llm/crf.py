@@ -7,16 +7,19 @@ batches by Viterbi; its features are the shapes of a word and of its neighbours.
 
 A span needs a digit or an at sign in its line, so lines without either are left out of the
 decoding; a run of words of one kind that overlaps a base span or fails its kind's plain test
-(digit counts, checksum) is split into its shortest pieces that pass, and the rest is dropped. Offsets are code points. Null texts count as empty: no spans.
+(digit counts, checksum) is split into its shortest pieces that pass, and the rest is dropped. The work is linear in the
+text, also for one very long line of marks, digits or addresses. Offsets are code points. Null texts count as empty: no spans.
 """
 
 from __future__ import annotations
 
 import re
 import random
+from bisect import bisect_left
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -380,10 +383,13 @@ def spans_of(texts: Sequence[str], decoder: Decoder) -> list[tuple[list, list]]:
 
 def _kept(text: str, base: Sequence[tuple], added: Iterable[tuple]) -> list[tuple[str, int, int]]:
     taken = sorted((a, b) for _, a, b in base)
+    starts = [a for a, _ in taken]
+    reach = list(accumulate((b for _, b in taken), max))  # how far the base spans up to each one go
     out = []
 
     def free(kind: str, a: int, b: int) -> bool:
-        return a < b and plausible(kind, text[a:b]) and not any(x < b and a < y for x, y in taken)
+        before = bisect_left(starts, b)
+        return a < b and not (before and reach[before - 1] > a) and plausible(kind, text[a:b])
 
     for kind, a, b in added:
         a, b = _trimmed(text, a, b)
@@ -402,32 +408,71 @@ def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-def _hopeless(kind: str, text: str) -> bool:
-    """No longer text that begins with this one can be plausible."""
-    if kind == "email":
-        return text.count("@") > 1
-    if kind in ("card", "phone"):
-        return len(digits_of(text)) > (19 if kind == "card" else 15)
-    return " " in text
+#: What a piece of a kind holds at least: digits, at signs, letters.
+NEEDS = {"email": (0, 1, 0), "ip": (4, 0, 0), "card": (13, 0, 0), "phone": (7, 0, 0), "secret": (4, 0, 1)}
+#: Characters a piece has at most, blanks not counted; a phone with 15 digits has more digits than other characters.
+MOST = {"email": 320, "ip": 60, "card": 40, "phone": 29, "secret": 4096}
 
 
 def _pieces(kind: str, text: str, a: int, b: int, free) -> Iterable[tuple[int, int]]:
-    """The shortest pieces of a run that are free, from left to right; words end at commas and semicolons too."""
-    words = [(m.start(), m.end()) for m in PART.finditer(text, a, b)]
+    """The shortest pieces of a run that are free, from left to right; words end at commas and semicolons too.
+
+    Running counts say where a piece holds enough digits, letters and at signs, and when it has
+    too many characters, so a start costs a few steps however long the run is.
+    """
+    words = [_trimmed(text, m.start(), m.end()) for m in PART.finditer(text, a, b)]
+    words = [w for w in words if w[0] < w[1]]  # words of marks alone begin or end no piece
+    sums = [[0], [0], [0], [0]]
+    for x, y in words:
+        word = text[x:y]
+        found = (len(DIGIT.findall(word)), word.count("@"), sum(c.isalpha() for c in word), y - x)
+        for upto, n in zip(sums, found):
+            upto.append(upto[-1] + n)
+    digits, size = sums[0], sums[3]
+    check = _luhn_sums("".join(DIGIT.findall(text[x:y])) for x, y in words) if kind == "card" else ([], [])
+
+    def hopeful(last: int) -> bool:
+        """What the running counts alone say of a piece."""
+        n = digits[last + 1] - digits[first]
+        if kind == "card":
+            doubled = check[digits[last + 1] % 2]
+            return 13 <= n <= 19 and (doubled[digits[last + 1]] - doubled[digits[first]]) % 10 == 0
+        return kind != "phone" or n <= 15 and 2 * n > size[last + 1] - size[first]
+
     first = 0
     while first < len(words):
+        last = max([first, *(bisect_left(upto, upto[first] + n) - 1 for upto, n in zip(sums, NEEDS[kind]) if n)])
         after = first + 1
-        for last in range(first, len(words)):
-            x, y = _trimmed(text, words[first][0], words[last][1])
-            if free(kind, x, y):
+        while last < len(words) and size[last + 1] - size[first] <= MOST[kind]:
+            x, y = words[first][0], words[last][1]
+            if hopeful(last) and free(kind, x, y):
                 yield x, y
                 after = last + 1
                 break
-            if _hopeless(kind, text[x:y]):
+            if kind == "email" and sums[1][last + 1] - sums[1][first] > 1 or kind in ("card", "phone") and digits[last + 1] - digits[first] > (19 if kind == "card" else 15):
+                break
+            if kind == "ip" or kind == "secret" and " " in text[x:y]:
                 break
+            last += 1
+        if last >= len(words) and after == first + 1 and len(words) - first > 1 and not _enough(sums, first, NEEDS[kind]):
+            return
         first = after
 
 
+def _luhn_sums(parts: Iterable[str]) -> tuple[list[int], list[int]]:
+    """Running sums of all digits as Luhn takes them, for numbers that end after an even and after an odd count of digits."""
+    even, odd = [0], [0]
+    for k, d in enumerate("".join(parts)):
+        once, twice = int(d), int(d) * 2 - 9 * (int(d) > 4)
+        even.append(even[-1] + (once if k % 2 else twice))
+        odd.append(odd[-1] + (twice if k % 2 else once))
+    return even, odd
+
+
+def _enough(sums: Sequence[Sequence[int]], first: int, needs: Sequence[int]) -> bool:
+    return all(upto[-1] - upto[first] >= n for upto, n in zip(sums, needs))
+
+
 def joined(spans: Iterable[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
