@@ -9,8 +9,10 @@ exception and halves the level of its left side.
 
 The score is the restriction level of what was found: 0 without a finding, 0.1 for permissive
 licences up to 1 for reserved rights; several notices in one text all bind, so the strictest
-counts. Null and empty texts have no words, no labels and score 0; a tag without a readable
-expression gives the label ``unparsed`` and level 0.5.
+counts. Null and empty texts have no words, no labels and score 0; a tag whose colon or equals
+sign is followed by no readable expression gives the label ``unparsed`` and level 0.5, words of a tag in
+prose, without either sign, give nothing. The work is linear in the text. Repeated rows are
+scanned alike; other columns play no part.
 """
 
 from __future__ import annotations
@@ -64,6 +66,9 @@ NOT_WORD = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 TOKEN = re.compile(r"\s*(\(|\)|[A-Za-z0-9.+-]*[A-Za-z0-9+])")
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
+#: Between a tag and its expression stands a colon or an equals sign.
+TAG_MARK = re.compile(r"[\"'\]]?[ \t]*[:=]")
+NAME = re.compile(r"[a-z][a-z0-9.+]*(?:-[a-z0-9.+]+)+")
 
 
 def level(name: str) -> float:
@@ -146,6 +151,19 @@ def expression_at(text: str, start: int) -> list[str] | None:
     return postfix(tokens[:whole]) if whole else None
 
 
+def _expression(text: str, start: int) -> tuple[set[str], float]:
+    """Names and level of the licence expression after a tag; words that are no licence names make it unparsed."""
+    post = expression_at(text, start)
+    if not post or not all(t in PRECEDENCE or readable(t) for t in post):
+        return {"unparsed"}, UNKNOWN_LEVEL
+    return evaluate(post)
+
+
+def readable(name: str) -> bool:
+    """A licence known by the start of its name, or a name in parts like ``OFL-1.1``."""
+    return any(name == k or name.startswith((k + "-", k + "+")) for k in LEVELS) or bool(NAME.fullmatch(name))
+
+
 @cache
 def automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
@@ -163,29 +181,27 @@ def scan(text: str) -> tuple:
     starts: list[int] = []
     base: set[str] = set()
     more: set[str] = set()
-    tagged = False
+    levels: list[float] = []
+    ends: list[int] = []  # of the words in the text, once a tag needs them
+    seen, word = 0, 0  # blanks before `seen`, so words before it
     for end, phrase in automaton().iter(joined):
         at = end - len(phrase) - 1
+        # hits come by their ends, so their starts lie near each other
+        word += joined.count(" ", seen, at) if at >= seen else -joined.count(" ", at, seen)
+        seen = at
         if phrase in BASE_PHRASES:
-            starts.append(joined.count(" ", 0, at))
+            starts.append(word)
             base.add(BASE_PHRASES[phrase])
-        elif phrase in NOTICES:
+        if phrase in NOTICES:
             more.add(NOTICES[phrase])
-        else:
-            tagged = True
-    levels = [level(x) for x in base | more]
-    if tagged:
-        words = [(m.start(), m.end(), m[0]) for m in WORD.finditer(lowered)]
-        for tag in TAGS:
-            parts = tag.split(" ")
-            for k in range(len(words) - len(parts) + 1):
-                hit = all(words[k + j][2] == p for j, p in enumerate(parts))
-                if not hit or (tag == TAGS[1] and k and words[k - 1][2] == "spdx"):
-                    continue
-                post = expression_at(text, words[k + len(parts) - 1][1])
-                names, cost = evaluate(post) if post else ({"unparsed"}, UNKNOWN_LEVEL)
+        if phrase in TAGS and not (phrase == TAGS[1] and joined.endswith(" spdx", 0, at)):
+            ends = ends or [m.end() for m in WORD.finditer(lowered)]
+            after = TAG_MARK.match(text, ends[word + phrase.count(" ")])
+            if after:
+                names, cost = _expression(text, after.end())
                 more |= names | {TAG_LABEL}
                 levels.append(cost)
+    levels += [level(x) for x in base | set(more & set(NOTICES.values()))]
     labels = ",".join(sorted(base | more))
     first, last = (min(starts), max(starts)) if starts else (None, None)
     return n_words, len(starts), first, last, ",".join(sorted(base)), labels, max(levels, default=0.0)
