@@ -118,8 +118,8 @@ def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sources
     """One row for each document: doc_id, sources, size, source_size, target and taken.
 
     ``sources`` is an array of the sources a document belongs to (default: its ``source``
-    alone); ``source_size`` and ``target`` are sums over them. A document in no source is
-    never taken. Sizes are worked out once and written to the shared folder. Options are
+    alone); ``source_size`` and ``target`` are sums over them. A document in no source, with an
+    empty or a null array, is never taken. Sizes are worked out once and written to the shared folder. Options are
     those of ``_mixture``.
     """
     return _mixture(docs, doc_id, text, sources, **options).drop("tie")
@@ -130,7 +130,8 @@ def _mixture(
     share: float = 1.5, max_repeats: int = 2, seed: int = 11, weights: Sequence[int] = WEIGHTS,
 ) -> DataFrame:
     spark = docs.sparkSession
-    sources = F.array(F.col("source")) if sources is None else F.array_sort(F.array_distinct(sources))
+    none = F.array().cast("array<string>")
+    sources = F.array(F.col("source")) if sources is None else F.coalesce(F.array_sort(F.array_distinct(sources)), none)
     path = scratch_path(spark, "sizes")
     digest = F.sha2(F.concat_ws("\x1f", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), 256)
     docs.select(
@@ -216,20 +217,21 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options
     Rows keep their columns; ``n_chars`` follows the text where there is one. Rows with the
     same id and text take equal parts of what they are given together.
     """
-    name = "_taken_words"
-    counts = _mixture(docs, doc_id, text, **options).groupBy(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie")).agg(
-        F.sum("taken").alias(name), F.count("*").alias("_rows")
+    mark = "_"  # the working columns' names begin as no column of `docs` does
+    while any(c.lower().startswith(f"{mark}mix_") for c in docs.columns):
+        mark += "_"
+    doc, tie, taken, rows, own, take, copy, room = (f"{mark}mix_{n}" for n in ("doc", "tie", "taken", "rows", "own", "take", "copy", "room"))
+    counts = _mixture(docs, doc_id, text, **options).groupBy(F.col("doc_id").alias(doc), F.col("tie").alias(tie)).agg(
+        F.sum("taken").alias(taken), F.count("*").alias(rows)
     )
-    tie = F.md5(F.coalesce(F.col(text), F.lit("")))
-    joined = docs.join(counts, F.col(doc_id).eqNullSafe(F.col("_doc")) & (tie == F.col("_tie")))
-    held = joined.withColumns({"_own": word_count(F.col(text)), "_take": F.floor(F.col(name) / F.col("_rows"))})
-    times = F.when(F.col("_own") == 0, 0).otherwise(F.ceil(F.col("_take") / F.col("_own")))
-    repeated = held.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1)).cast("int"))))
-    repeated = repeated.where(F.col("_take") > 0)
-    room = F.col("_take") - (F.col("_copy") - 1) * F.col("_own")
-    repeated = repeated.withColumn("_room", room)
-    partial = F.when(F.col("_room") < F.col("_own"), F.col(text))
-    out = repeated.withColumn(text, F.coalesce(first_words(partial, F.col("_room")), F.col(text)))
+    digest = F.md5(F.coalesce(F.col(text), F.lit("")))
+    joined = docs.join(counts, F.col(doc_id).eqNullSafe(F.col(doc)) & (digest == F.col(tie)))
+    held = joined.withColumns({own: word_count(F.col(text)), take: F.floor(F.col(taken) / F.col(rows))})
+    times = F.when(F.col(own) == 0, 0).otherwise(F.ceil(F.col(take) / F.col(own)))
+    repeated = held.withColumn(copy, F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1)).cast("int"))))
+    repeated = repeated.where(F.col(take) > 0).withColumn(room, F.col(take) - (F.col(copy) - 1) * F.col(own))
+    partial = F.when(F.col(room) < F.col(own), F.col(text))
+    out = repeated.withColumn(text, F.coalesce(first_words(partial, F.col(room)), F.col(text)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

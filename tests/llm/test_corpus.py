@@ -238,3 +238,30 @@ def test_non_negative_risk_learns_from_unlabelled():
     assert min(model.weights.get(b, 0) for b in range(5)) > 0.3
     z = lambda row: sum(model.weights.get(b, 0) for b in set(row))
     assert np.mean([z(text(1)) > z(text(0)) for _ in range(300)]) > 0.95
+
+
+def test_mix_with_null_source_lists_and_clashing_names(spark):
+    rows = [(i, f"one two three {i}", ["a"] if i % 3 == 0 else ["a", "b"] if i % 3 == 1 else None, i) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, in_sources array<string>, _doc long")
+    docs = docs.withColumns({"_own": F.lit(1), "_mix_doc": F.lit("x"), "Taken.x": F.lit(2)})
+    plan = mixing.mixture(docs, sources=F.col("in_sources")).collect()
+    assert len(plan) == 30 and all(r.taken == 0 for r in plan if not r.sources)
+    assert sum(r.taken for r in plan) > 0 and all(r.taken <= 2 * r.size for r in plan)
+    out = mixing.mixed(docs, sources=F.col("in_sources"))
+    assert out.columns == docs.columns
+    words = {}
+    for r in out.collect():
+        words[r.doc_id] = words.get(r.doc_id, 0) + len(r.text.split())
+    assert words == {r.doc_id: r.taken for r in plan if r.taken}
+
+
+def test_overlapping_sources_reach_their_quotas(spark):
+    """Documents of a and b together can fill either; the flow gives each source what its target asks."""
+    rows = [(i, "w " * 10, ["a"] if i < 20 else ["a", "b"] if i < 60 else ["b"]) for i in range(70)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, s array<string>")
+    plan = mixing.mixture(docs, sources=F.col("s"), share=1.0).collect()
+    by_source = {"a": 600, "b": 500}
+    goal = mixing.targets(by_source, 1.0, 2, mixing.WEIGHTS)
+    taken = sum(r.taken for r in plan)
+    assert abs(taken - min(sum(int(v + 0.5) for v in goal.values()), 2 * 700)) <= 1
+    assert all(r.target == sum(goal[x] for x in r.sources) for r in plan)

@@ -1,7 +1,9 @@
 """Operators on single texts against brute force and hand-made cases."""
 
 import hashlib
+import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -216,3 +218,88 @@ def test_compared_follows_descending_ids(spark, odd):
 
 def test_words_are_ascii_blank_separated():
     assert WORD.findall("a\u00a0b\x0bc\x1cd e") == ["a\u00a0b", "c\x1cd", "e"]
+
+
+def test_licence_words_in_prose_are_no_tags():
+    for text in ("see the license identifier in the file", "license expression and more", "the license identifier: see below", "license identifier\n: MIT"):
+        found = licences.scan(text)
+        assert found[5] in ("", "identifier,unparsed") and "in" not in found[5].split(",")
+    assert licences.scan("see the license identifier in the file")[5:] == ("", 0.0)
+    assert licences.scan("License-Identifier = OFL-1.1 or mit")[5] == "identifier,mit,ofl-1.1"
+
+
+def brute_licences(text):
+    """Phrases by comparing words one by one."""
+    words = licences.WORD.findall(ascii_lower(text or ""))
+
+    def places(phrase):
+        p = phrase.split()
+        return [i for i in range(len(words)) if words[i : i + len(p)] == p]
+
+    starts = sorted(i for p in licences.BASE_PHRASES for i in places(p))
+    base = {x for p, x in licences.BASE_PHRASES.items() if places(p)}
+    more = {x for p, x in licences.NOTICES.items() if places(p)}
+    score = max((licences.level(x) for x in base | more), default=0.0)
+    return (len(words), len(starts), starts[0] if starts else None, starts[-1] if starts else None, ",".join(sorted(base)), ",".join(sorted(base | more)), score)
+
+
+def test_licence_scan_over_a_table_equals_brute_force(spark):
+    rng = random.Random(12)
+    pieces = ["cc", "by", "sa", "nc", "4", "0", "general", "public", "license", "all", "rights", "reserved", "gnu", "version", "2", "mit", "é", "domain", "-", "\n", "CC0"]
+    texts = [" ".join(rng.choices(pieces, k=rng.randint(0, 60))) for _ in range(400)] + ["", None, "cc by", "cc by", "x" * 50000]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, labels string, found int").repartition(3)
+    got = {r.doc_id: tuple(r.f) for r in df.select("doc_id", licences.licence_scan("text").alias("f")).collect()}
+    assert got == {i: brute_licences(t) for i, t in enumerate(texts)}
+    assert df.limit(0).select(licences.licence_scan("text")).count() == 0
+
+
+def quick(fn):
+    """The result, which must come in under a second and a half, after a first call on little."""
+    start = time.perf_counter()
+    out = fn()
+    assert time.perf_counter() - start < 1.5
+    return out
+
+
+def test_licence_scan_is_linear():
+    licences.scan("cc by")
+    found = quick(lambda: licences.scan("cc by " * 100_000))
+    assert found[:4] == (200_000, 100_000, 0, 199_998)
+    quick(lambda: licences.scan("license identifier: mit\n" * 20_000))
+
+
+def brute_pieces(kind, text):
+    """The shortest free piece from each word on, by trying every end."""
+    words = [crf._trimmed(text, m.start(), m.end()) for m in crf.PART.finditer(text)]
+    words = [w for w in words if w[0] < w[1]]
+    out, first = [], 0
+    while first < len(words):
+        hit = None
+        for k in range(first, len(words)):
+            piece = text[words[first][0] : words[k][1]]
+            if sum(y - x for x, y in words[first : k + 1]) > crf.MOST[kind] or kind == "email" and k > first and text[words[first][0] : words[k - 1][1]].count("@") > 1:
+                break
+            if crf.plausible(kind, piece):
+                hit = k
+                break
+        if hit is not None:
+            out.append((words[first][0], words[hit][1]))
+        first = first + 1 if hit is None else hit + 1
+    return out
+
+
+@pytest.mark.parametrize("kind", crf.KINDS)
+def test_pieces_equal_trying_every_end(kind):
+    rng = random.Random(7)
+    parts = ["555", "123-4567", "+1", "(02)", "a@b.org", "x", "@", "b.c", "--", "4111111111111111", "4111", "1111", "10.0.0.1", "k3y9Zq81", "Aa0bb11cc22dd33e", ",", ";", "...", "é9"]
+    for _ in range(400):
+        text = "".join(rng.choice(parts) + rng.choice([" ", " ", ",", ", "]) for _ in range(rng.randint(1, 25)))
+        got = list(crf._pieces(kind, text, 0, len(text), lambda k, a, b: a < b and crf.plausible(k, text[a:b])))
+        assert got == brute_pieces(kind, text), text
+
+
+@pytest.mark.parametrize("kind", crf.KINDS)
+@pytest.mark.parametrize("word", ["-- ", "( ", "1 -- ", "1,", "555-1234 ", "4111 1111 ", "a@ ", "@ ( ", "x,", "1 "])
+def test_long_lines_are_split_in_linear_time(kind, word):
+    text = "7 " + word * 20_000
+    quick(lambda: crf._kept(text, [], [(kind, 0, len(text))]))
