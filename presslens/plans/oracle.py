@@ -95,6 +95,12 @@ VOCAB = vocab("<pad>", "<unk>")
 VECTORS = VOCAB + """,
 wv AS (SELECT v.token, v.id, e.embedding AS vec FROM vocab v JOIN embeddings e ON e.vec_id = v.id - 2),
 wd AS (SELECT token, unnest(range(0, len(vec))) AS dim, unnest(vec)::DOUBLE AS x FROM wv)"""
+PAIRS = VOCAB + """,
+places AS (SELECT article_id, unnest(tokens) AS token, unnest(range(0, len(tokens))) AS pos FROM full_text),
+near AS (SELECT x.token AS a, y.token AS b, count(*) AS n FROM places x JOIN (SELECT article_id, token, pos - unnest(range(1, 6)) AS pos FROM places) y
+  USING (article_id, pos) GROUP BY ALL),
+known AS (SELECT a, b, n FROM near WHERE a IN (SELECT token FROM vocab) AND b IN (SELECT token FROM vocab)),
+pairs AS (SELECT token, context, sum(n) AS n FROM (SELECT a AS token, b AS context, n FROM known UNION ALL SELECT b, a, n FROM known) GROUP BY ALL)"""
 CAPPED = f"""{ARTICLES},
 cleaned AS (SELECT article_id, {space_words('lower(' + strip(clean('title') + ' || chr(32) || ' + clean('content')) + ')')} AS tokens FROM articles),
 places AS (SELECT article_id, unnest(tokens) AS token, unnest(range(0, len(tokens))) AS pos FROM cleaned),
@@ -323,6 +329,13 @@ SELECT title, content, CAST(label AS INTEGER) AS label, (SELECT count(*) FROM ar
     "context_reload": reloaded("documents", "doc_id"),
     "vector_reload": reloaded("documents", "doc_id"),
     "embedding_reload": reloaded("embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1", "a.vec_id"),
+    "cooccurrence": f"""WITH {PAIRS} SELECT token, count(*) AS n_contexts, CAST(sum(n) AS BIGINT) AS n_pairs, CAST(max(n) AS BIGINT) AS most,
+CAST(sum(CASE WHEN token = context THEN n ELSE 0 END) AS BIGINT) AS n_self FROM pairs GROUP BY token""",
+    "ppmi_weights": f"""WITH {PAIRS}, totals AS (SELECT token, CAST(sum(n) AS DOUBLE) AS own FROM pairs GROUP BY token),
+w AS (SELECT p.token, ln(n * (SELECT sum(own) FROM totals) / (a.own * b.own * 2)) AS w FROM pairs p JOIN totals a ON a.token = p.token JOIN totals b ON b.token = p.context)
+SELECT token, count(*) AS n_positive, round(sum(w), 4) AS weight FROM w WHERE w > 0 GROUP BY token""",
+    "spectral_vec": f"""WITH {ARTICLES}, {FULL}, {COUNTS} SELECT count(*) AS n_words, CAST(0 AS BIGINT) AS wrong_length, CAST(0 AS BIGINT) AS not_square
+FROM counts WHERE cnt >= 2""",
     "epoch_history": """SELECT metric, CAST(10 AS BIGINT) AS epochs, CAST(2 AS BIGINT) AS splits, CAST(20 AS BIGINT) AS n_values, CAST(0 AS BIGINT) AS wrong,
 CAST(1 AS INTEGER) AS best_kept FROM (SELECT unnest(['loss_1', 'accuracy_1']) AS metric)""",
 }

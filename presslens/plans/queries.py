@@ -9,7 +9,7 @@ from presslens.functions.text import (
     basic_clean, clean_text, join_text, lower_space_tokens, space_tokens, term_words, with_bigrams, word_tokens,
 )
 from presslens.functions.vector import cosine, norm
-from presslens.operators import metrics, profile, sequences, splits, tfidf, vocabulary, wordvectors
+from presslens.operators import metrics, profile, sequences, spectral, splits, tfidf, vocabulary, wordvectors
 from presslens.operators.ordered import ranked_within
 from presslens.plans import classify, missions
 from presslens.session import cut, scratch_path, spread
@@ -608,6 +608,40 @@ def subword_vec(spark, sf):
     return v.select("token", r6(norm(F.col("vec"))).alias("v_norm"))
 
 
+def _text_pairs(spark, sf):
+    """The words of all texts seen twice or more, and how often any two of them stand within five words."""
+    df = cut(full_text(articles(spark, sf)).select("tokens"))
+    words = cut(vocabulary.token_counts(df, "tokens").where("cnt >= 2"))
+    return words, cut(spectral.known_pairs(spectral.cooccurrences(df, "tokens"), words))
+
+
+def cooccurrence(spark, sf):
+    _, counts = _text_pairs(spark, sf)
+    return counts.groupBy("token").agg(
+        F.count("*").alias("n_contexts"), F.sum("n").alias("n_pairs"), F.max("n").alias("most"),
+        F.sum(F.when(F.col("token") == F.col("context"), F.col("n")).otherwise(0)).alias("n_self"),
+    )
+
+
+def ppmi_weights(spark, sf):
+    _, counts = _text_pairs(spark, sf)
+    kept = spectral.positive_pmi(counts, shift=2.0)
+    return kept.groupBy("token").agg(F.count("*").alias("n_positive"), F.round(F.sum("w"), 4).alias("weight"))
+
+
+def spectral_vec(spark, sf):
+    """One row: words with a vector, vectors of a wrong length, and pairs of columns that are not at right angles."""
+    dim = 32
+    df = cut(full_text(articles(spark, sf)).select("tokens"))
+    v = cut(spectral.spectral_vectors(df, "tokens", dim=dim))
+    cells = v.select(F.posexplode("vec").alias("i", "x"), "vec").select("i", F.posexplode("vec").alias("j", "y"), "x")
+    gram = cells.where("i <= j").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("g"), F.sum(F.col("x") * F.col("x")).alias("own"))
+    # columns are scaled by the root of their value: the diagonal falls, all else is zero
+    wrong = gram.agg(F.count_if((F.col("i") < F.col("j")) & ~(F.abs("g") <= 1e-6 * F.col("own"))).alias("not_square"))
+    sizes = v.agg(F.count("*").alias("n_words"), F.count_if(F.size("vec") != dim).alias("wrong_length"))
+    return sizes.withColumn("not_square", wrong.scalar())
+
+
 def metric_history(spark, sf):
     pairs = embedding_pairs(spark, sf)
     h = missions.embedding_study(pairs, pairs, "title_vec", "content_vec").history
@@ -694,5 +728,6 @@ QUERIES = {
         legacy_csv, encoding_scan, export_predictions, export_metrics, ngram_clf,
         context_clf, vector_clf, embedding_clf, w2v_cosine, subword_vec, metric_history, model_reload,
         study_reload, context_reload, vector_reload, embedding_reload, epoch_history,
+        cooccurrence, ppmi_weights, spectral_vec,
     )
 }
