@@ -25,11 +25,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from presslens.llm.common import bounded_sample
 from presslens.llm.components import components, saved
+from presslens.operators.ordered import ranked
+from presslens.session import few_rows
 
 WIDTH = 5
 VALUES = 128
@@ -134,14 +136,14 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n, digest of the set, signature of 16-bit values, one-bit sketch); nulls for empty sets."""
+def signatures(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text_sha256, text) as doc_id, text_sha256, n, digest of the set, signature of 16-bit values, one-bit sketch; nulls for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
             rows = []
-            for s in shingler.sets(batch.column(1).fill_null("")):
+            for s in shingler.sets(batch.column(2).fill_null("")):
                 if len(s):
                     m = minima(s)
                     values = ((m * np.uint32(0x85EBCA6B)) >> np.uint32(16)).astype(">u2")
@@ -151,10 +153,11 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
                     rows.append((0, None, None, None))
             kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
             columns = zip(*rows) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", "n", "digest", "signature", "sketch"])
+            made = [pa.array(c, k) for c, k in zip(columns, kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["doc_id", "text_sha256", "n", "digest", "signature", "sketch"])
 
-    id_type = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {id_type}, n long, digest binary, signature binary, sketch binary")
+    schema = "doc_id long, text_sha256 string, n long, digest binary, signature binary, sketch binary"
+    return docs.select("doc_id", "text_sha256", "text").mapInArrow(run, schema)
 
 
 # ---- candidates ----
@@ -457,35 +460,94 @@ def exact_links(texts: DataFrame, percent: int) -> DataFrame:
     return pairs.groupBy("p", "q").cogroup(asked.groupBy("own_p", "own_q")).applyInArrow(_counted(percent), "a long, b long")
 
 
+def text_key(text: str) -> Column:
+    """What tells the texts of one id apart."""
+    return F.sha2(F.col(text), 256)
+
+
+def _keyed(classes: DataFrame, mixed: DataFrame) -> DataFrame:
+    """``classes`` with a key of their own, ``id``: the least document id, or a number past all ids where another class has that."""
+    own = classes.withColumn("id", F.col("doc_id"))
+    if mixed.isEmpty():
+        return own
+    shared = saved(classes.join(mixed, "doc_id", "left_semi").select("doc_id", "digest"), "shared_ids")
+    first = shared.groupBy("doc_id").agg(F.min("digest").alias("first"))
+    later = shared.join(first, "doc_id").where(F.col("digest") != F.col("first")).select("doc_id", "digest")
+    past = classes.agg(F.max("doc_id")).first()[0] or 0
+    moved = saved(ranked(later, [F.col("doc_id"), F.col("digest")], "turn"), "moved").select("digest", (F.col("turn") + F.lit(past)).alias("moved"))
+    return own.join(moved, "digest", "left").withColumn("id", F.coalesce("moved", "id")).drop("moved")
+
+
+def _texts(named: DataFrame, features: DataFrame, classes: DataFrame, mixed: DataFrame, needed: DataFrame) -> DataFrame:
+    """(id, text): one text of every class of ``needed`` (id)."""
+    asked = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
+    source = named.select(F.col("doc_id").alias("id"), "text").join(asked, "id", "left_semi")
+    if mixed.isEmpty():
+        return source.groupBy("id").agg(F.min("text").alias("text"))
+    plain = source.join(mixed.withColumnRenamed("doc_id", "id"), "id", "left_anti").groupBy("id").agg(F.min("text").alias("text"))
+    # the least document of a class stands for it, by whichever of that id's texts is of the class
+    wanted = classes.join(asked, "id", "left_semi").join(mixed, "doc_id", "left_semi").select("id", "digest", F.col("doc_id").alias("least"))
+    chosen = features.join(wanted, "digest").where("doc_id = least").groupBy("id", "doc_id").agg(F.min("text_sha256").alias("text_sha256"))
+    odd = named.join(saved(chosen, "chosen"), ["doc_id", "text_sha256"]).groupBy("id").agg(F.min("text").alias("text"))
+    return plain.unionByName(odd)
+
+
+def _named(classes: DataFrame, labels: DataFrame, mixed: DataFrame) -> DataFrame:
+    """(digest, group_id, component_id): each class's component by its least key, and by its least document id."""
+    by_class = classes.select("digest", "doc_id", "id").join(labels.withColumnRenamed("node", "id"), "id", "left")
+    by_class = by_class.select("digest", "doc_id", "id", F.coalesce("component", "id").alias("group_id"))
+    if mixed.isEmpty():
+        return by_class.select("digest", "group_id", F.col("group_id").alias("component_id"))
+    by_class = saved(by_class, "by_class")
+    # keys are document ids but for the moved ones, whose ids may be lower than their group's other keys
+    moved = few_rows(by_class.where("id <> doc_id").groupBy("group_id").agg(F.min("doc_id").alias("moved")))
+    past = classes.agg(F.max("doc_id")).first()[0]
+    real = F.when(F.col("group_id") <= F.lit(past), F.col("group_id"))
+    return by_class.join(moved, "group_id", "left").select("digest", "group_id", F.least(real, "moved").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of ``docs``; ids are integers.
+    """doc_id, n_shingles, component_id and kept for every row of ``docs``, with its group_id and text_sha256; ids are integers.
 
     A row without an id takes part in nothing: its component is null and it is kept. Rows
-    with the same id and text have equal results.
+    with the same id and text have equal results. Rows with one id and different texts are
+    documents of their own: each is linked by its own text, and only rows of linked texts
+    have one ``group_id`` (null where nothing can link). Very long texts are taken whole,
+    pairs at exactly ``percent`` are linked, other columns of ``docs`` are not looked at.
     """
-    named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(text).alias("text_sha256"), F.col(text).alias("text"))
     features = saved(signatures(named), "signatures")
     known = features.where("n > 0 and doc_id is not null")
     best = F.min(F.struct("doc_id", "n", "signature", "sketch")).alias("c")
-    classes = saved(known.groupBy("digest").agg(best).select("digest", F.col("c.doc_id").alias("id"), "c.n", "c.signature", "c.sketch"), "classes")
+    classes = known.groupBy("digest").agg(best).select("digest", "c.doc_id", "c.n", "c.signature", "c.sketch")
+    some = F.coalesce("digest", F.lit(b""))
+    per_id = features.where("doc_id is not null").groupBy("doc_id").agg(F.min(some).alias("low"), F.max(some).alias("high"))
+    mixed = saved(per_id.where("low <> high").select("doc_id"), "mixed")
+    classes = saved(_keyed(classes, mixed), "classes")
     pairs, marked = (saved(x, name) for x, name in zip(candidates(classes, percent / 100), ("candidates", "marked")))
     needed = saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(marked).distinct(), "needed")
-    asked = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
-    source = named.withColumnRenamed("doc_id", "id").join(asked, "id", "left_semi")
-    texts = saved(source.groupBy("id").agg(F.min("text").alias("text")), "texts")
+    texts = saved(_texts(named, features, classes, mixed, needed), "texts")
     found, labels = links(pairs, texts, percent)
     own = labels.withColumnRenamed("node", "id")
     open_texts = texts.join(marked, "id").join(own, "id", "left").withColumn("component", F.coalesce("component", "id"))
     more = saved(exact_links(saved(open_texts, "open_texts"), percent), "exact_links")
     if not more.isEmpty():
         labels = saved(components(found.union(more)), "labels")
-    by_class = classes.select("digest", "id").join(labels.withColumnRenamed("node", "id"), "id", "left")
-    by_class = by_class.select("digest", F.coalesce("component", "id").alias("component_id"))
-    rows = features.select("doc_id", F.col("n").alias("n_shingles"), "digest")
-    alone = rows.where("digest is null").withColumn("component_id", F.lit(None).cast("long"))
-    out = rows.where("digest is not null").join(by_class, "digest", "left").unionByName(alone)
+    by_class = _named(classes, labels, mixed)
+    rows = features.select("doc_id", F.col("n").alias("n_shingles"), "digest", "text_sha256")
+    nothing = F.lit(None).cast("long")
+    alone = rows.where("digest is null").withColumns({"group_id": nothing, "component_id": nothing})
+    out = rows.where("digest is not null").join(by_class, "digest", "left").unionByName(alone, allowMissingColumns=True)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select(
-        "doc_id", "n_shingles", component.alias("component_id"),
-        F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
+        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
+        F.when(F.col("doc_id").isNotNull(), F.col("group_id")).alias("group_id"), "text_sha256",
     )
+
+
+def surplus(found: DataFrame) -> DataFrame:
+    """(doc_id, text_sha256) of all rows of ``near_duplicates`` but the texts that stay, one of each group."""
+    kept = found.where("kept and group_id is not null")
+    several = kept.groupBy("group_id").agg(F.min("text_sha256").alias("stays"), F.max("text_sha256").alias("last")).where("stays <> last")
+    second = kept.join(several, "group_id").where(F.col("text_sha256") != F.col("stays"))
+    return found.where("not kept").select("doc_id", "text_sha256").union(second.select("doc_id", "text_sha256")).distinct()

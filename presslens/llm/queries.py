@@ -25,7 +25,8 @@ def tokenizer_definition(path: str | None = None) -> str:
 
 
 def near_duplicates(spark, sf):
-    return neardup.near_duplicates(table(spark, sf, "documents"), percent=85)
+    found = neardup.near_duplicates(table(spark, sf, "documents"), percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def quality_scores(spark, sf):

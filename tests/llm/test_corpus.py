@@ -1,5 +1,6 @@
 """Operators over whole tables against brute force, held-out labels and round trips."""
 
+import hashlib
 import random
 import zlib
 
@@ -99,6 +100,40 @@ def test_near_duplicates_of_odd_rows(spark):
     assert neardup.near_duplicates(odd_docs(spark).limit(0)).count() == 0
 
 
+def shared_ids(seed):
+    """Near copies under ids that many texts share."""
+    rng = random.Random(seed)
+    texts = [t for _, t in copies(seed, 12, 3, 60, 2)]
+    return [(rng.randint(1, 8), t) for t in texts] + [(3, None), (3, ""), (4, texts[0]), (4, texts[0])]
+
+
+@pytest.mark.parametrize("rows", [shared_ids(6), shared_ids(7)])
+def test_texts_of_one_id_are_linked_each_by_itself(spark, rows):
+    want = slow_components(list(enumerate(t for _, t in rows)))
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        group = want[k][1]
+        least[group] = min(least.get(group, i), i)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = neardup.near_duplicates(docs)
+    key = lambda i, t: (i, None if t is None else hashlib.sha256(t.encode()).hexdigest())
+    got = {(r.doc_id, r.text_sha256): (r.n_shingles, r.component_id, r.kept) for r in found.collect()}
+    assert got == {key(i, t): (want[k][0], least[want[k][1]], least[want[k][1]] == i) for k, (i, t) in enumerate(rows)}
+    # of every group one text stays, of the least id
+    gone = {tuple(r) for r in neardup.surplus(found).collect()}
+    stay = {key(*r): want[k][1] for k, r in enumerate(rows) if key(*r) not in gone and want[k][0]}
+    assert len(set(stay.values())) == len(stay) == len({c for n, c in want.values() if n})
+    assert all(i == least[c] for (i, _), c in stay.items())
+
+
+def test_one_id_with_a_near_copy_of_another(spark):
+    text = " ".join(f"w{k}" for k in range(80))
+    rows = [(1, text), (5, "some other words that stand here"), (5, text.replace("w40", "x")), (9, "some other words that stand here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(docs, percent=80).collect())
+    assert got == [(1, 1, True), (5, 1, False), (5, 5, True), (9, 5, False)]
+
+
 def test_shingler_matches_words():
     import pyarrow as pa
 

@@ -58,3 +58,14 @@ def test_near_copies_above_four_fifths_go(spark):
     copy = [f"x{k}" if k in (20, 60, 100, 140) else w for k, w in enumerate(words)]
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(copy)), (3, "other words stand here alone")], "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == [1, 3]
+
+
+def test_near_dedup_of_odd_rows(spark):
+    text = " ".join(f"w{k}" for k in range(80))
+    rows = [(1, text), (5, "a b c d e f"), (5, text + " x"), (9, "A b c d e f"), (7, "g h"), (7, "g h"), (None, text), (None, text), (8, None), (8, None), (8, "")]
+    docs = spark.createDataFrame([(*r, "mine") for r in rows], "doc_id int, text string, text_sha256 string")
+    got = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert got.columns == docs.columns
+    want = [(1, text), (5, "a b c d e f"), (7, "g h"), (None, text), (None, text), (8, None), (8, "")]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), SF).count() == 0
