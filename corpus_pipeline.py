@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from presslens.llm import crf, mixing, neardup, packing, rules
+from presslens.llm.components import saved
 from presslens.llm.queries import tokenizer_definition
 from presslens.session import scratch_path
 
@@ -20,11 +21,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; of rows with one id and text, one."""
-    found = neardup.near_duplicates(docs, percent=80)
-    gone = found.where("not kept").select(F.col("doc_id").alias("_doc")).distinct()
-    left = docs.join(gone, docs["doc_id"].cast("long") == F.col("_doc"), "left_anti")
-    return left.dropDuplicates(["doc_id", "text"])
+    """One document of each group of near-duplicates; of rows with one id and text, one. Rows without an id stay."""
+    found = saved(neardup.near_duplicates(docs, percent=80), "near_duplicates")
+
+    def among(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = keys.select(F.col("doc_id").alias("_doc"), F.col("text_sha256").alias("_sha"))
+        same = (rows["doc_id"].cast("long") == keys["_doc"]) & neardup.text_key("text").eqNullSafe(keys["_sha"])
+        return rows.join(keys, same, how)
+
+    left = among(docs, saved(neardup.surplus(found), "surplus"), "left_anti")
+    named = found.where(F.col("doc_id").isNotNull())
+    again = saved(named.groupBy("doc_id", "text_sha256").count().where("count > 1"), "repeated")
+    if again.isEmpty():
+        return left
+    # only repeated rows are moved to be told apart
+    return among(left, again, "left_anti").unionByName(among(left, again, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
