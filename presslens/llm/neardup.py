@@ -343,13 +343,14 @@ def links(pairs: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame,
             labels = saved(components(found), "labels")
         degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
         hubs = labels.join(degree, "node").groupBy("component").agg(F.max_by("node", F.struct("d", -F.col("node"))).alias("hub"))
-        open_pairs = left.unionByName(_proposals(batch.where("not linked"), labels, hubs))
-        open_pairs = open_pairs.groupBy("a", "b").agg(F.min("far").alias("far")).join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        hubs = few_rows(hubs)  # a large component's proposals then stay where they are
+        proposed = left.unionByName(_proposals(batch.where("not linked"), labels, hubs))
+        proposed = proposed.groupBy("a", "b").agg(F.min("far").alias("far")).join(checked.select("a", "b"), ["a", "b"], "left_anti")
         for side in "ab":
             own = labels.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-            open_pairs = open_pairs.join(own, side, "left")
+            proposed = proposed.join(own, side, "left")
         apart = F.col("ca").isNull() | F.col("cb").isNull() | (F.col("ca") != F.col("cb"))
-        left = saved(open_pairs.where(apart).select("a", "b", "far"), "left")
+        left = saved(proposed.where(apart).select("a", "b", "far"), "left")
         if left.isEmpty():
             return found, labels
         k *= 4
@@ -438,20 +439,53 @@ def _counted(percent: int):
     return run
 
 
+def _sides(df: DataFrame, keys: list[str], fields: list[str]) -> list[DataFrame]:
+    return [df.select(*keys, *[F.col(c).alias(c + mark) for c in fields]) for mark in ("_a", "_b")]
+
+
+def _may_link(percent: int, low: str, high: str, rest: str) -> Column:
+    """Whether sides a and b may hold a link: by the ranges of their sizes, and by what is left of the sets at a shared shingle."""
+    sized = 100 * F.least(f"{high}_a", f"{high}_b") >= percent * F.greatest(f"{low}_a", f"{low}_b")
+    reach = F.least(f"{rest}_a", f"{rest}_b")
+    return sized & ((100 + percent) * reach >= percent * (F.col(f"{low}_a") + F.col(f"{low}_b")))
+
+
+def _component_pairs(parts: DataFrame, percent: int) -> DataFrame:
+    """(s, component_a, component_b, salts_a, salts_b): components that share a shingle and may hold a link, a under b."""
+    used = parts.groupBy("s").agg(F.count("*").alias("parts")).where("parts > 1")
+    parts = parts.join(used, "s").withColumn("splits", F.ceil(F.col("parts") / SALT_ROWS).cast("int"))
+    left = parts.withColumn("split", F.pmod(F.xxhash64("component"), F.col("splits")).cast("int"))
+    right = parts.withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
+    fields = ["component", "salts", "low", "high", "rest"]
+    left, right = _sides(left, ["s", "split"], fields)[0], _sides(right, ["s", "split"], fields)[1]
+    met = left.join(right, ["s", "split"]).where((F.col("component_a") < F.col("component_b")) & _may_link(percent, "low", "high", "rest"))
+    return met.select("s", "component_a", "component_b", "salts_a", "salts_b")
+
+
+def open_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): texts of different components that may be linked, from ``rows`` (s, id, component, n, place), a under b.
+
+    Components meet before their texts do, so texts of one component are never put side by
+    side: what is joined grows with the pairs that come out.
+    """
+    rest = F.col("n") - F.col("place")
+    sizes = [F.count("*").alias("rows"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(rest).alias("rest")]
+    parts = rows.groupBy("s", "component").agg(*sizes).withColumn("salts", F.ceil(F.col("rows") / SALT_ROWS).cast("int"))
+    parts = saved(parts, "parts")
+    met = saved(_component_pairs(parts, percent), "component_pairs")
+    hot = few_rows(parts.where("salts > 1").select("s", "component", "salts"))
+    rows = rows.join(few_rows(met.select("s").distinct()), "s", "left_semi").join(hot, ["s", "component"], "left")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int")).withColumn("rest", rest)
+    left, right = _sides(saved(rows, "shared"), ["s"], ["id", "component", "salt", "n", "rest"])
+    for side in "ab":
+        met = met.withColumn(f"salt_{side}", F.explode(F.sequence(F.lit(0), F.col(f"salts_{side}") - 1)))
+    pairs = met.join(left, ["s", "component_a", "salt_a"]).join(right, ["s", "component_b", "salt_b"]).where(_may_link(percent, "n", "n", "rest"))
+    return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+
+
 def exact_links(texts: DataFrame, percent: int) -> DataFrame:
     """(a, b): all links between different components of ``texts`` (id, component, text), a under b."""
-    rows = _prefixes(texts, percent)
-    used = rows.groupBy("s").agg(F.count("*").alias("rows"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    rows = saved(rows.join(used.select("s", "rows"), "s").withColumn("salts", F.ceil(F.col("rows") / SALT_ROWS).cast("int")), "shared")
-    left = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
-    right = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    left, right = (side.select("s", "salt", *[F.col(c).alias(c + mark) for c in ("id", "component", "n", "place")]) for side, mark in ((left, "_a"), (right, "_b")))
-    # at the first shingle two prefixes share, the rest of either set bounds what is in common
-    reach = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
-    enough = (100 + percent) * reach >= percent * (F.col("n_a") + F.col("n_b"))
-    sized = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    apart = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b"))
-    pairs = left.join(right, ["s", "salt"]).where(apart & sized & enough).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    pairs = open_pairs(_prefixes(texts, percent), percent)
     blocks = max(1, -(-texts.count() // BLOCK_ROWS))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     pairs = saved(pairs.withColumn("p", block("a")).withColumn("q", block("b")), "open_pairs")

@@ -92,6 +92,42 @@ def test_links_inside_a_large_region_are_found(spark):
     assert got == want
 
 
+def beside_a_cluster(n, share):
+    """``n`` texts of one component with one edit each, and a text with the first ``share`` of their words."""
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for i in range(n):
+        text = list(base)
+        text[i % 200] = f"x{i}"
+        rows.append((i, 0, " ".join(text)))
+    return [*rows, (n, n, " ".join(base[: int(200 * share)]))]
+
+
+@pytest.mark.parametrize("share", [0.7, 0.9])
+def test_texts_of_one_component_are_not_joined_with_each_other(spark, share):
+    n = 1200
+    rows = beside_a_cluster(n, share)
+    texts = spark.createDataFrame(rows, "id long, component long, text string")
+    sets = {i: shingles(t) for i, _, t in rows}
+    want = {(i, n) for i in range(n) if 100 * len(sets[i] & sets[n]) >= 85 * len(sets[i] | sets[n])}
+    prefixes = neardup._prefixes(texts, 85)
+    asked = neardup.open_pairs(prefixes, 85).collect()
+    assert want <= {(r.a, r.b) for r in asked} and len(asked) <= n
+    assert {tuple(r) for r in neardup.exact_links(texts, 85).collect()} == want
+    assert bool(want) == (share == 0.9)
+
+
+def test_links_between_components_are_all_counted(spark):
+    rows = [(i, i % 3 if i % 4 else i, t) for i, t in copies(9, 6, 30, 60, 3)]
+    sets = {i: shingles(t) for i, _, t in rows}
+    want = {
+        (a, b) for a, c, _ in rows for b, d, _ in rows
+        if a < b and c != d and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
+    }
+    texts = spark.createDataFrame(rows, "id long, component long, text string")
+    assert want and {tuple(r) for r in neardup.exact_links(texts, 85).collect()} == want
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(odd_docs(spark)).collect())
     assert [g for g in got if g[0] in (1, 2, 3)] == [(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True)]
