@@ -343,7 +343,7 @@ def links(pairs: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame,
             labels = saved(components(found), "labels")
         degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
         hubs = labels.join(degree, "node").groupBy("component").agg(F.max_by("node", F.struct("d", -F.col("node"))).alias("hub"))
-        hubs = few_rows(hubs)  # a large component's proposals then stay where they are
+        hubs = _sent(hubs, labels)  # a large component's proposals then stay where they are
         proposed = left.unionByName(_proposals(batch.where("not linked"), labels, hubs))
         proposed = proposed.groupBy("a", "b").agg(F.min("far").alias("far")).join(checked.select("a", "b"), ["a", "b"], "left_anti")
         for side in "ab":
@@ -439,6 +439,11 @@ def _counted(percent: int):
     return run
 
 
+def _sent(df: DataFrame, bound: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if the written table ``bound``, which has no fewer rows, is counted to be small."""
+    return F.broadcast(df) if bound.count() <= BROADCAST_IDS else df
+
+
 def _sides(df: DataFrame, keys: list[str], fields: list[str]) -> list[DataFrame]:
     return [df.select(*keys, *[F.col(c).alias(c + mark) for c in fields]) for mark in ("_a", "_b")]
 
@@ -473,10 +478,10 @@ def open_pairs(rows: DataFrame, percent: int) -> DataFrame:
     parts = rows.groupBy("s", "component").agg(*sizes).withColumn("salts", F.ceil(F.col("rows") / SALT_ROWS).cast("int"))
     parts = saved(parts, "parts")
     met = saved(_component_pairs(parts, percent), "component_pairs")
-    hot = few_rows(parts.where("salts > 1").select("s", "component", "salts"))
-    rows = rows.join(few_rows(met.select("s").distinct()), "s", "left_semi").join(hot, ["s", "component"], "left")
+    many = parts.where("salts > 1").select("s", "component", "salts")
+    rows = rows.join(_sent(met.select("s").distinct(), met), "s", "left_semi").join(_sent(many, many), ["s", "component"], "left")
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int")).withColumn("rest", rest)
-    left, right = _sides(saved(rows, "shared"), ["s"], ["id", "component", "salt", "n", "rest"])
+    left, right = _sides(rows, ["s"], ["id", "component", "salt", "n", "rest"])
     for side in "ab":
         met = met.withColumn(f"salt_{side}", F.explode(F.sequence(F.lit(0), F.col(f"salts_{side}") - 1)))
     pairs = met.join(left, ["s", "component_a", "salt_a"]).join(right, ["s", "component_b", "salt_b"]).where(_may_link(percent, "n", "n", "rest"))
