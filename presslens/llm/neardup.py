@@ -47,7 +47,7 @@ CHUNK_BYTES = 1_000_000
 SAMPLE_ROWS = 4000
 COMMON_SHINGLES = 500_000
 SALT_ROWS = 512
-BLOCK_ROWS = 256
+BLOCK_ROWS = 1024
 
 _RNG = np.random.default_rng(20240)
 _TABLE = _RNG.integers(0, 2**64, 256, np.uint64)
