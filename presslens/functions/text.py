@@ -14,7 +14,8 @@ ANY_SPACE = r"[\t\n\x0B\f\r \x1C-\x1F\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u
 NOISE = r"[^가-힣a-zA-Z0-9\t\n\x0B\f\r ]"
 STOP_SUBSTRINGS = ("기자", "사진", "연합뉴스", "뉴스", "보도", "오늘", "대한", "에서")
 ALPHA_WORD = r"[\p{L}\p{Nl}\p{No}_]+"
-TERM_WORD = r"[\p{L}\p{N}_]{2,}"
+# Two classes in a row run in a tight loop where a counted repetition does not.
+TERM_WORD = r"[\p{L}\p{N}_][\p{L}\p{N}_]+"
 
 
 def strip_space(col: Column) -> Column:

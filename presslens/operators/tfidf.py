@@ -1,6 +1,7 @@
 """TF-IDF over words and bigrams: fit, transform, cosines, centroid.
 
-Fitting shuffles one row per distinct term and task. Transforming shuffles
+Fitting counts words, then the bigrams of words that are frequent enough, in Arrow batches;
+it shuffles one row per distinct term counted and batch. Transforming shuffles
 nothing: the vocabulary is capped at ``max_features`` terms of at most
 ``LONGEST_KEY`` characters, so it fits every executor, and each article keeps
 its own sparse vectors in its row.
@@ -8,12 +9,17 @@ its own sparse vectors in its row.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F
 
 from presslens.functions.text import term_words, with_bigrams
 from presslens.functions.vector import (
@@ -31,10 +37,13 @@ FEATURE_LIMIT = 1_000_000
 LONGEST_KEY = 64
 # Up to this many candidates are sorted in one task; more are ranked over range partitions.
 SORTABLE_TERMS = 500_000
+# Words put in order at once while a batch of texts is counted.
+WORDS_AT_ONCE = 1_000_000
 
 
 def terms(col: Column) -> Column:
-    return with_bigrams(term_words(col))
+    """Words and bigrams; bound to a variable, the words are found once and not at every mention."""
+    return F.get(F.transform(F.array(term_words(col)), with_bigrams), F.lit(0))
 
 
 def bounded_key(term: Column) -> Column:
@@ -88,10 +97,7 @@ def most_counted(statistics: DataFrame, limit: int, sortable: int = SORTABLE_TER
     partitions, so a wide band of ties is never gathered.
     """
     written = cut(statistics)
-    above = Window.orderBy(F.col("cf").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    reached = written.groupBy("cf").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(above))
-    enough = F.when(F.col("upto") >= limit, F.col("upto"))
-    found = reached.agg(F.max("upto").alias("n"), F.min(enough).alias("held"), F.max_by("cf", -enough).alias("cf")).first()
+    found = _cutoff(written, limit)
     if (found["n"] or 0) <= limit:
         return written
     order = [F.col("cf").desc(), F.col("term")]
@@ -101,6 +107,87 @@ def most_counted(statistics: DataFrame, limit: int, sortable: int = SORTABLE_TER
     return ranked(held, order, "_rank").where(F.col("_rank") <= limit).drop("_rank")
 
 
+def _cutoff(counts: DataFrame, limit: int) -> Row:
+    """Rows (n), the ``cf`` of the ``limit``-th most counted one, and how many reach it (held)."""
+    above = Window.orderBy(F.col("cf").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    reached = counts.groupBy("cf").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(above))
+    enough = F.when(F.col("upto") >= limit, F.col("upto"))
+    return reached.agg(F.max("upto").alias("n"), F.min(enough).alias("held"), F.max_by("cf", -enough).alias("cf")).first()
+
+
+def _keyed(words: pa.Array) -> pa.Array:
+    """``bounded_key`` of every word."""
+    long = pc.greater(pc.utf8_length(words), LONGEST_KEY)
+    if not pc.any(long).as_py():
+        return words
+    digests = ["#" + hashlib.sha256(w.encode()).hexdigest() for w in words.filter(long).to_pylist()]
+    return pc.replace_with_mask(words, long, pa.array(digests, words.type))
+
+
+def _coded_counts(texts: pa.ListArray, keys: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(codes, df, cf)`` of whole texts at a time; a word is its place in ``keys``, a bigram (first + 1) * len(keys) + second."""
+    ends, size, start = texts.offsets.to_numpy().astype(np.int64), len(keys), 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + WORDS_AT_ONCE, "right")) - 1)
+        words = _keyed(texts.values.slice(ends[start], ends[stop] - ends[start]))
+        ids = pc.fill_null(pc.index_in(words, keys), -1).to_numpy().astype(np.int64)
+        text = np.repeat(np.arange(stop - start), np.diff(ends[start : stop + 1]))
+        known = ids >= 0
+        pair = known[1:] & known[:-1] & (text[1:] == text[:-1])
+        codes = np.concatenate([ids[known], (ids[:-1][pair] + 1) * size + ids[1:][pair]])
+        # size * (size + 1) codes of at most FEATURE_LIMIT words leave room for a million texts
+        codes, first, cf = _runs(np.sort(codes * (stop - start) + np.concatenate([text[known], text[1:][pair]])), stop - start)
+        yield codes, first, cf
+        start = stop
+
+
+def _runs(order: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per code of the sorted ``code * texts + text``: the code, its texts and its places."""
+    codes = order // texts
+    starts = np.flatnonzero(np.diff(codes, prepend=-1))
+    seen = np.diff(order, prepend=-1) > 0
+    return codes[starts], np.add.reduceat(seen, starts, dtype=np.int64) if len(starts) else starts, np.diff(np.append(starts, len(codes)))
+
+
+def frequent_statistics(df: DataFrame, *text_cols: str, limit: int) -> DataFrame | None:
+    """``(term, df, cf)`` of the ``limit`` most counted terms and ties, or None where words alone do not tell them.
+
+    A bigram is counted at most as often as either word. So where words are counted first, all
+    terms above the count of the ``limit``-th word consist of fewer than ``limit`` words, and
+    only their terms are counted. None if fewer than ``limit`` terms lie above that count.
+    """
+    texts = df.select(*[term_words(F.col(c)).alias(c) for c in text_cols])
+    lists = F.array(*[F.col(c) for c in text_cols])
+    rows = texts.select(F.explode(lists).alias("words")).select(F.explode_outer("words").alias("term")).where("term is not null")
+    words = cut(rows.groupBy("term").agg(F.count("*").alias("cf")))
+    found = _cutoff(words, limit)
+    floor = found["cf"] if (found["n"] or 0) > limit else 0
+    kept = cut(words.where(F.col("cf") > floor).select("term", bounded_key(F.col("term")).alias("key")))
+    keys = sorted(r["key"] for r in kept.select("key").collect())  # at most ``limit`` of a bounded length
+    if not keys:
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed = pa.array(keys, pa.string())
+        for batch in batches:
+            for column in batch.columns:
+                for found in _coded_counts(column, listed):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["code", "df", "cf"])
+
+    parts = texts.mapInArrow(run, "code long, df long, cf long")
+    counts = cut(parts.groupBy("code").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where(F.col("cf") > floor))
+    found = _cutoff(counts, limit)
+    if floor and (found["n"] or 0) < limit:
+        return None
+    top = counts.where(F.col("cf") >= found["cf"]) if found["cf"] is not None else counts
+    numbered = df.sparkSession.createDataFrame(list(enumerate(keys)), "id long, key string")
+    names = cut(kept.join(numbered, "key").select("id", "term"))
+    first, second = (names.select(F.col("id").alias(f"_{s}"), F.col("term").alias(f"_{s}_word")) for s in "ab")
+    pairs = top.withColumns({"_a": F.expr(f"code div {len(keys)} - 1"), "_b": F.expr(f"code % {len(keys)}")})
+    named = pairs.join(second, "_b").join(first, "_a", "left")
+    return named.select(F.concat_ws(" ", "_a_word", "_b_word").alias("term"), "df", "cf")
+
+
 @dataclass
 class TfidfModel:
     """Kept terms with counts and idf, and the lookup built from them.
@@ -140,7 +227,10 @@ def fit_tfidf(df: DataFrame, *text_cols: str, max_features: int = MAX_FEATURES)
         raise ValueError(f"max_features must lie in 1..{FEATURE_LIMIT}: the vocabulary is sent to every executor")
     n_docs = df.count() * len(text_cols)
     idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0
-    kept = most_counted(term_statistics(df, *text_cols), max_features)
+    statistics = frequent_statistics(df, *text_cols, limit=max_features)
+    if statistics is None:
+        statistics = term_statistics(df, *text_cols)
+    kept = most_counted(statistics, max_features)
     return model_of(cut(kept.withColumns({"idf": idf, "key": bounded_key(F.col("term"))})), n_docs)
 
 

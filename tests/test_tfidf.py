@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -98,6 +99,32 @@ def test_most_counted_cuts_ties_by_term(spark, limit, sortable):
         assert "TakeOrdered" not in kept._jdf.queryExecution().executedPlan().toString()
 
 
+def test_words_are_found_once_per_text(spark):
+    assert str(tfidf.terms(F.col("content"))).count("regexp_extract_all") == 1
+
+
+@pytest.mark.parametrize("limit", [40, 5000])
+def test_only_terms_of_frequent_words_are_counted(spark, monkeypatch, limit):
+    monkeypatch.setattr(tfidf, "WORDS_AT_ONCE", 50)
+    pool, rng = ["ab", "cd", "ef", "ÄÖ", "x" * 70, "y" * 70, *[f"w{i}" for i in range(60)]], random.Random(5)
+    rows = [(i, *[" ".join(pool[min(int(rng.expovariate(0.12)), 65)] for _ in range(n)) for n in (i % 4, rng.randrange(90))]) for i in range(80)]
+    df = spark.createDataFrame([*rows, (80, None, None)], "article_id bigint, title string, content string").repartition(3)
+    every = {r.term: (r.df, r.cf) for r in tfidf.term_statistics(df, "title", "content").collect()}
+    found = {r.term: (r.df, r.cf) for r in tfidf.frequent_statistics(df, "title", "content", limit=limit).collect()}
+    assert found.items() <= every.items()
+    order = sorted(every, key=lambda t: (-every[t][1], t))[:limit]
+    assert set(order) <= set(found) and (limit == 5000 or len(found) < len(every))
+    kept = tfidf.fit_tfidf(df, "title", "content", max_features=limit).table.collect()
+    assert {r.term: (r.df, r.cf) for r in kept} == {t: every[t] for t in order}
+
+
+def test_words_alone_may_not_tell_the_kept_terms(df):
+    # no term lies above the count of the 7th word, so all are counted
+    assert tfidf.frequent_statistics(df, "title", "content", limit=7) is None
+    fit = brute(7)
+    assert {r.term: (r.df, r.cf, pytest.approx(r.idf)) for r in tfidf.fit_tfidf(df, "title", "content", max_features=7).table.collect()} == fit
+
+
 def test_most_counted_of_nothing(spark):
     assert tfidf.most_counted(spark.createDataFrame([], "term string, df long, cf long"), 5).count() == 0
 
