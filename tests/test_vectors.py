@@ -88,3 +88,15 @@ def test_training_repeats_with_one_partition(spark):
     assert runs[0] == runs[1] and len(runs[0]) == 4
     every = wv.subword_vectors(df.withColumn("tokens", F.concat("tokens", F.array(F.lit("xyz")))), "tokens", dim=4, window=2, min_count=20, partitions=1)
     assert {r.token for r in every.collect()} == {"x", "y", "z", "w", "xyz"}
+
+
+def test_backoff_tasks_follow_the_number_of_tokens(spark, monkeypatch):
+    vectors = spark.createDataFrame([("abcd", [1.0, 2.0]), ("bcde", [3.0, 5.0])], "token string, vec array<double>")
+    tokens = spark.createDataFrame([(f"{w}{i}",) for i in range(10) for w in ("abcx", "bcdx", "qq")], "token string")
+    whole = {r.token: (r.grams, r.vec) for r in wv.backoff_vectors(tokens, vectors, 2).collect()}
+    monkeypatch.setattr(wv, "BACKOFF_TOKENS", 2)
+    dealt = wv.backoff_vectors(tokens, vectors, 2)
+    # no task adds up more tokens as the input grows, and their sums are not shuffled again
+    assert dealt.rdd.getNumPartitions() == 15
+    assert {r.token: (r.grams, r.vec) for r in dealt.collect()} == whole and len(whole) == 30
+    assert whole["abcx1"][0] > 0 and whole["qq1"] == (0, [0.0, 0.0])
