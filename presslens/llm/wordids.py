@@ -48,7 +48,7 @@ class WordIds:
         self.dtype = np.dtype("<u2" if self.size <= 2**16 else "<u4")
         self.suffix = kept["model"].get("end_of_word_suffix")
         self.by_word = bool(drops_blanks(kept) and not kept.get("truncation") and not kept["model"].get("dropout"))
-        self.known: dict[str, bytes] = {}
+        self._forget()
         if self.suffix:
             self.ends = np.array([(self.tokenizer.id_to_token(k) or "").endswith(self.suffix) for k in range(self.size)])
 
@@ -83,51 +83,93 @@ class WordIds:
         codes = lower.indices.to_numpy(zero_copy_only=False)[coded.indices.to_numpy(zero_copy_only=False)]
         n = lengths[codes]
         upto = np.concatenate([[0], np.cumsum(n)])
-        starts = (np.cumsum(lengths) - lengths)[codes] - upto[:-1]
-        ids = pool[np.repeat(starts, n) + np.arange(upto[-1])]
         bounds = upto[np.concatenate([[0], np.cumsum(per_text)])]
-        return ids, np.diff(bounds)
+        return _stretches(pool, (np.cumsum(lengths) - lengths)[codes], n), np.diff(bounds)
 
     def _pool(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of distinct words one after the other, and their number for each word."""
         stems = pc.ascii_rtrim(words, characters=MARKS)
-        # İ is the one letter whose lower case ends in a mark, which would join those after it
-        letters_only = pc.and_not(pc.utf8_is_alpha(stems), pc.match_substring(stems, "İ"))
-        plain = letters_only.to_numpy(zero_copy_only=False) if self.suffix else np.zeros(len(words), bool)
-        whole, heads = words.to_pylist(), stems.to_pylist()
-        tails = [w[len(h) :] if p else "" for w, h, p in zip(whole, heads, plain.tolist())]
-        heads = [h if p else w for w, h, p in zip(whole, heads, plain.tolist())]
+        plain = _letters_only(stems) if self.suffix else pa.array(np.zeros(len(words), bool))
+        heads = pc.if_else(plain, stems, words)
+        coded = pa.concat_arrays([heads, _after(words, heads)]).dictionary_encode()
+        starts, lengths = self._places(coded.dictionary)
+        # head and closing marks of a word stand side by side
+        parts = coded.indices.to_numpy(zero_copy_only=False).reshape(2, len(words)).T.ravel()
+        n = lengths[parts]
+        return _stretches(self.pool, starts[parts], n), n.reshape(-1, 2).sum(axis=1)
+
+    def _places(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of distinct words start in ``pool``, and their number; unknown words are encoded first."""
+        self._drop_long()
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        self.known[""] = b""
-        new = set(heads).difference(self.known)
-        letters = new.intersection([h for h, p in zip(heads, plain.tolist()) if p])
-        self._learn_letters(list(letters))
-        self._learn(list((new - letters).union(tails).difference(self.known)))
-        get = self.known.__getitem__
-        pieces = [get(h) + get(t) if t else get(h) for h, t in zip(heads, tails)]
-        for word in new:
-            if len(word) > CACHED_BYTES:
-                del self.known[word]
-        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.dtype.itemsize
-        return np.frombuffer(b"".join(pieces), self.dtype), lengths
-
-    def _learn(self, words: list[str]) -> None:
-        for word, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            self.known[word] = np.array(e.ids, self.dtype).tobytes()
-
-    def _learn_letters(self, words: list[str]) -> None:
+            self._forget()
+        at = pc.index_in(words, value_set=self.known)
+        missing, before = at.is_null(), len(self.known)
+        new = words.filter(missing)
+        if len(new):
+            brief = pc.less_equal(pc.binary_length(new), CACHED_BYTES)
+            self.kept = self._add(new.filter(brief))
+            self._add(new.filter(pc.invert(brief)))
+            found = pc.index_in(new, value_set=self.known.slice(before))
+            at = pc.replace_with_mask(at, missing, pc.add(found, pa.scalar(before, pa.int32())))
+        at = at.to_numpy(zero_copy_only=False)
+        return self.starts[at], self.lengths[at]
+
+    def _forget(self) -> None:
+        """Only the empty word stays, which has no ids."""
+        self.known, self.kept = pa.array([""], pa.large_string()), 1
+        self.pool, self.starts, self.lengths = np.zeros(0, self.dtype), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def _drop_long(self) -> None:
+        """Long words stand last and serve one batch only."""
+        if self.kept < len(self.known):
+            end = int(self.starts[self.kept])
+            self.known, self.pool = self.known.slice(0, self.kept), self.pool[:end]
+            self.starts, self.lengths = self.starts[: self.kept], self.lengths[: self.kept]
+
+    def _add(self, words: pa.Array) -> int:
+        """Encode words and put them behind the known ones; gives the number known then."""
+        if len(words):
+            letters = _letters_only(words) if self.suffix else pa.array(np.zeros(len(words), bool))
+            sorts = words.filter(letters), words.filter(pc.invert(letters))
+            found = [self._of_letters(sorts[0].to_pylist()), self._whole(sorts[1].to_pylist())]
+            self.known = pa.concat_arrays([self.known, *sorts])
+            self.pool = np.concatenate([self.pool, *[ids for ids, _ in found]])
+            self.lengths = np.concatenate([self.lengths, *[n for _, n in found]])
+            self.starts = np.cumsum(self.lengths) - self.lengths
+        return len(self.known)
+
+    def _of_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Encode words of letters as one text; each must end in one end-of-word token, else halves are tried."""
         if len(words) < 2:
-            return self._learn(words)
+            return self._whole(words)
         (e,) = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
         ids = np.array(e.ids, self.dtype)
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) != len(words) or cuts[-1] != len(ids):
-            self._learn_letters(words[: len(words) // 2])
-            self._learn_letters(words[len(words) // 2 :])
-            return
-        raw, at = ids.tobytes(), 0
-        for word, end in zip(words, (cuts * self.dtype.itemsize).tolist()):
-            self.known[word] = raw[at:end]
-            at = end
+            half = len(words) // 2
+            parts = self._of_letters(words[:half]), self._of_letters(words[half:])
+            return np.concatenate([ids for ids, _ in parts]), np.concatenate([n for _, n in parts])
+        return ids, np.diff(cuts, prepend=0)
+
+
+def _letters_only(words: pa.Array) -> pa.Array:
+    # İ is the one letter whose lower case ends in a mark, which would join those after it
+    return pc.and_not(pc.utf8_is_alpha(words), pc.match_substring(words, "İ"))
+
+
+def _after(words: pa.Array, heads: pa.Array) -> pa.Array:
+    """What follows the head in every word."""
+    sizes = [pc.binary_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (words, heads)]
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words)]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    n = sizes[0] - sizes[1]
+    held = [pa.py_buffer(np.concatenate([[0], np.cumsum(n)]).astype(np.int64)), pa.py_buffer(_stretches(data, offsets + sizes[1], n))]
+    return pa.LargeStringArray.from_buffers(len(words), *held)
+
+
+def _stretches(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """``values[start : start + length]`` of every entry, one after the other."""
+    upto = np.cumsum(lengths)
+    total = int(upto[-1]) if len(upto) else 0
+    return values[np.repeat(starts - (upto - lengths), lengths) + np.arange(total)]

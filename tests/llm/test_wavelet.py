@@ -1,4 +1,5 @@
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -44,6 +45,20 @@ def test_ids_of_random_texts_are_the_tokenizers():
     assert cut_up(*WordIds(tokenizer_definition(WORDS)).flat(pa.array(texts))) == plain_ids(texts)
 
 
+def test_words_are_met_and_kept_without_a_call_each(monkeypatch):
+    monkeypatch.setattr("presslens.llm.wordids.CACHED_BYTES", 20)
+    encoder = WordIds(tokenizer_definition(WORDS))
+    texts = [f"{w}, {w * 9}. {w}!" for w in ("".join(random.Random(i).choices("abcdé", k=9)) for i in range(3000))]
+    assert cut_up(*encoder.flat(pa.array(texts))) == plain_ids(texts)
+    known = [w.replace("!", ".") for w in (t.split()[-1] for t in texts)]
+    calls = []
+    sys.setprofile(lambda _, event, __: calls.append(event) if event in ("call", "c_call") else None)
+    got = encoder.flat(pa.array(known))
+    sys.setprofile(None)
+    assert cut_up(*got) == plain_ids(known) and len(calls) < len(known)
+    assert max(map(len, encoder.known.to_pylist())) <= 20
+
+
 def test_rank_select_and_access_equal_a_plain_list(monkeypatch):
     monkeypatch.setattr(wavelet, "BLOCK", 64)
     rng = np.random.default_rng(5)
