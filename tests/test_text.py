@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from presslens.functions.text import (
-    STOP_SUBSTRINGS, basic_clean, clean_text, join_text, space_tokens, term_words, with_bigrams, word_tokens,
+    ANY_SPACE, STOP_SUBSTRINGS, basic_clean, clean_text, join_text, space_tokens, term_words, with_bigrams, word_tokens,
 )
 
 
@@ -25,6 +25,15 @@ def test_basic_clean_and_join(one):
     assert one(join_text(F.lit("a"), F.lit("b"))) == "a b"
 
 
+def test_ends_are_trimmed_without_a_pattern_and_foreign_runs_go_in_one(spark, one):
+    blanks = [c for c in map(chr, range(0x3100)) if re.fullmatch(ANY_SPACE, c)]
+    assert one(basic_clean(F.lit("".join(blanks) + "a\u2003b\u200b" + "".join(blanks)))) == "a\u2003b\u200b"
+    assert one(clean_text(F.lit("a\uabff가힣\ud7a4😀\t!z\uffff"))) == "a 가힣 z"
+    df = spark.createDataFrame([("a",)], "t string")
+    plans = [df.select(f(F.col("t")).alias("t"))._jdf.queryExecution().optimizedPlan().toString() for f in (basic_clean, clean_text)]
+    assert [p.count("regexp_replace") for p in plans] == [0, 2]
+
+
 def test_tokenizer_goldens(one):
     assert one(space_tokens(F.lit(" Ab  c "))) == ["Ab", "c"]
     assert one(word_tokens(F.lit("The U.S. in 2024abc _x 한국"))) == ["the", "in", "abc", "한국"]
