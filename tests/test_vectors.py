@@ -54,6 +54,19 @@ def test_sentence_vectors_match_brute_force(spark, vectors, monkeypatch, limit,
         assert got[i].tv == pytest.approx(mean(t).tolist()) and got[i].cv == pytest.approx(mean(c).tolist())
 
 
+def test_small_vectors_add_whole_texts_as_rows_of_tokens_would(spark, monkeypatch):
+    monkeypatch.setattr(wv, "TOKENS_AT_ONCE", 3)
+    table = spark.createDataFrame([*VECTORS.items(), ("a", [5.0, None]), ("none", None), (None, [1.0])], "token string, vec array<float>")
+    rows = [(1, ["a", "b", "zz", "a", None], None), (1, ["none"], ["hot"] * 9), (None, ["a"], []), (2, [], ["none"])]
+    df = spark.createDataFrame(rows, "article_id bigint, t array<string>, c array<string>")
+    args = df, "article_id", {"tv": "t", "cv": "c"}, table, 3
+    ways = [sorted(f(*args).select("article_id", "side", "part.*").collect(), key=repr) for f in (wv._text_sums, wv._token_sums)]
+    flat = [[(r.article_id, r.side, r.chunk, r.n, [x or 0.0 for x in r.sums]) for r in way] for way in ways]
+    assert flat[0] == flat[1]
+    plan = wv.sentence_vectors(*args)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+
+
 def test_cosine_to_mean(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0])], "article_id bigint, v array<double>")
     got = {r.article_id: r.c for r in wv.cosine_to_mean(df, "v", 2, "c").collect()}
