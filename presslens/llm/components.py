@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from presslens.session import scratch_path
 
+# A written table of at most so many narrow rows is grouped and joined in one task.
+ROWS_TOGETHER = 250_000
+
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back, which cuts its lineage."""
@@ -14,8 +17,22 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def together(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` as one partition where it was counted to be small (``rows``, if known): what groups it or joins it with
+    another such table then takes one task and no exchange, however many partitions a shuffle has. Larger tables are left alone.
+    """
+    return df.coalesce(1) if (df.count() if rows is None else rows) <= ROWS_TOGETHER else df
+
+
+def _each(df: DataFrame, *pairs: tuple[str, str], names: tuple[str, str]) -> DataFrame:
+    """Every row once for each pair of its columns."""
+    x, y = names
+    made = F.array(*[F.struct(F.col(a).alias(x), F.col(b).alias(y)) for a, b in pairs])
+    return df.select(F.inline(made))
+
+
 def _both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.u", "e.v")
+    return _each(edges, ("a", "b"), ("b", "a"), names=("u", "v"))
 
 
 def _star(pairs: DataFrame, emit: DataFrame) -> DataFrame:
@@ -29,20 +46,21 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); a component is named by its least node.
 
     Large stars hang higher neighbours on the least one, small stars do the same for lower
-    ones; both keep components and end in stars. Rows are grouped only to take minima.
+    ones; both keep components and end in stars. Rows are grouped only to take minima. Few
+    links are gone through in one task a step.
     """
     edges = saved(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    state = None
+    rows, state = edges.count(), None
     while True:
+        edges = together(edges, rows)
         ways = _both_ways(edges)
-        large = saved(_star(ways, ways.where("v > u")), "large")
+        large = together(saved(_star(ways, ways.where("v > u")), "large"), rows)
         # b is above a, so a small star moves b's lower neighbours and b itself
         down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        both = down.union(down.select("u", F.col("u").alias("v")))
+        both = _each(large, ("b", "a"), ("b", "b"), names=("u", "v"))
         edges = saved(_star(down, both).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "small")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state:
             break
-        state = now
-    rows = edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
-    return rows.union(edges.select(F.col("a").alias("node"), F.col("a").alias("component"))).distinct()
+        rows, state = now[0], now
+    return _each(together(edges, rows), ("b", "a"), ("a", "a"), names=("node", "component")).distinct()

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from presslens.llm.common import bounded_sample
-from presslens.llm.components import components, saved
+from presslens.llm.components import components, saved, together
 from presslens.operators.ordered import ranked
 from presslens.session import few_rows
 
@@ -330,28 +330,35 @@ def _nearest_first(pairs: DataFrame, k: int) -> DataFrame:
 def links(pairs: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Confirmed links and their components (node, component)."""
     spark = pairs.sparkSession
-    left = pairs
+    left, n_left = pairs, pairs.count()
     found = checked = None
+    n_checked = 0
     labels = spark.createDataFrame([], "node long, component long")
     k = 1
     while True:
+        left = together(left, n_left)
         batch = saved(confirmed(_nearest_first(left, k), texts, percent), "checked")
+        n_batch = batch.count()
+        n_checked += n_batch
+        batch = together(batch, n_batch)
         new = batch.where("linked").select("a", "b")
-        checked = batch if checked is None else saved(checked.union(batch), "all_checked")
+        checked = together(batch if checked is None else saved(checked.union(batch), "all_checked"), n_checked)
         found = checked.where("linked").select("a", "b")
         if not new.isEmpty():
-            labels = saved(components(found), "labels")
+            labels = together(saved(components(found), "labels"))
         degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
         hubs = labels.join(degree, "node").groupBy("component").agg(F.max_by("node", F.struct("d", -F.col("node"))).alias("hub"))
         hubs = _sent(hubs, labels)  # a large component's proposals then stay where they are
-        proposed = left.unionByName(_proposals(batch.where("not linked"), labels, hubs))
+        # a failed pair proposes two at most
+        proposed = together(left.unionByName(_proposals(batch.where("not linked"), labels, hubs)), n_left + 2 * n_batch)
         proposed = proposed.groupBy("a", "b").agg(F.min("far").alias("far")).join(checked.select("a", "b"), ["a", "b"], "left_anti")
         for side in "ab":
             own = labels.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
             proposed = proposed.join(own, side, "left")
         apart = F.col("ca").isNull() | F.col("cb").isNull() | (F.col("ca") != F.col("cb"))
         left = saved(proposed.where(apart).select("a", "b", "far"), "left")
-        if left.isEmpty():
+        n_left = left.count()
+        if not n_left:
             return found, labels
         k *= 4
 

@@ -187,6 +187,15 @@ def test_connected_components_of_paths_and_stars(spark):
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}, 203: 203, 204: 203, 205: 203}
 
 
+@pytest.mark.parametrize("limit", [250_000, 0])
+def test_few_links_are_not_dealt_out(spark, monkeypatch, limit):
+    monkeypatch.setattr(components, "ROWS_TOGETHER", limit)
+    links = spark.createDataFrame([(1, 2), (3, 2), (3, 3), (9, 8), (9, 8), (12, 10), (11, 12), (10, 11)], "a long, b long").repartition(5)
+    found = components.components(links)
+    assert sorted(map(tuple, found.collect())) == [(1, 1), (2, 1), (3, 1), (8, 8), (9, 8), (10, 10), (11, 10), (12, 10)]
+    assert ("Exchange" in found._jdf.queryExecution().executedPlan().toString()) == (limit == 0)
+
+
 # ---- urls ----
 
 
