@@ -124,8 +124,8 @@ def _keyed(words: pa.Array) -> pa.Array:
     return pc.replace_with_mask(words, long, pa.array(digests, words.type))
 
 
-def _coded_counts(texts: pa.ListArray, keys: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """``(codes, df, cf)`` of whole texts at a time; a word is its place in ``keys``, a bigram (first + 1) * len(keys) + second."""
+def _coded(texts: pa.ListArray, keys: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """``(codes, text, texts)`` of whole texts at a time; a word is its place in ``keys``, a bigram (first + 1) * len(keys) + second."""
     ends, size, start = texts.offsets.to_numpy().astype(np.int64), len(keys), 0
     while start < len(texts):
         stop = max(start + 1, int(np.searchsorted(ends, ends[start] + WORDS_AT_ONCE, "right")) - 1)
@@ -135,12 +135,17 @@ def _coded_counts(texts: pa.ListArray, keys: pa.Array) -> Iterator[tuple[np.ndar
         known = ids >= 0
         pair = known[1:] & known[:-1] & (text[1:] == text[:-1])
         codes = np.concatenate([ids[known], (ids[:-1][pair] + 1) * size + ids[1:][pair]])
-        # size * (size + 1) codes of at most FEATURE_LIMIT words leave room for a million texts
-        codes, first, cf = _runs(np.sort(codes * (stop - start) + np.concatenate([text[known], text[1:][pair]])), stop - start)
-        yield codes, first, cf
+        yield codes, np.concatenate([text[known], text[1:][pair]]), stop - start
         start = stop
 
 
+def _coded_counts(texts: pa.ListArray, keys: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(codes, df, cf)`` of whole texts at a time."""
+    for codes, text, n in _coded(texts, keys):
+        # size * (size + 1) codes of at most FEATURE_LIMIT words leave room for a million texts
+        yield _runs(np.sort(codes * n + text), n)
+
+
 def _runs(order: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per code of the sorted ``code * texts + text``: the code, its texts and its places."""
     codes = order // texts
@@ -210,6 +215,16 @@ class TfidfModel:
         numbered = self.table.sparkSession.createDataFrame(list(enumerate(self.keys)), "term_index int, key string")
         return self.table.join(numbered, "key").select("term", "term_index")
 
+    def codes(self) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The words of the kept terms by ``bounded_key``, every term's code out of them as in ``_coded``, and idf."""
+        words = F.transform(F.split("term", " "), bounded_key)
+        parts = {r["key"]: r["words"] for r in self.table.select("key", words.alias("words")).collect()}  # at most FEATURE_LIMIT
+        listed = sorted({w for p in parts.values() for w in p})
+        place = {w: i for i, w in enumerate(listed)}
+        terms = [[place[w] for w in parts[k]] for k in self.keys]
+        codes = [p[0] if len(p) == 1 else (p[0] + 1) * len(listed) + p[1] for p in terms]
+        return listed, np.array(codes, np.int64), np.array(self.idf)
+
     def weights(self, df: DataFrame, text_col: str, out_col: str) -> DataFrame:
         """Add count x idf of ``text_col`` as a sparse vector, unnormalised."""
         words, counts = f"{out_col}_terms", f"{out_col}_counts"
@@ -282,22 +297,37 @@ def _entries(parts: Column) -> Column:
 def centroid(df: DataFrame, model: TfidfModel, text_col: str) -> DataFrame:
     """Mean L2-normalised weight per known term that occurs: ``(term, term_index, mean_weight)``.
 
-    Each task adds up its own rows first; at most one row per kept term and
+    Each task adds up its own rows in Arrow batches; at most one row per kept term and
     task is shuffled.
     """
-    w = unwrapped(model.weights(df.select(text_col), text_col, "_w"), "_w")
+    shared = df.sparkSession.sparkContext.broadcast(model.codes())
     n_rows = df.count()
-    # The norm is taken before the explode; beside it, it would be taken per term.
-    rows = w.select(sparse_norm(F.col("_w")).alias("_n"), _entries(F.col("_w")).alias("_pairs"))
-    means = (
-        rows.select("_n", F.explode_outer("_pairs").alias("p"))
-        .where(F.col("p").isNotNull())
-        .groupBy(F.col("p.i").alias("term_index"))
-        .agg((F.sum(F.col("p.v") / F.col("_n")) / n_rows).alias("mean_weight"))
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, codes, idf = shared.value
+        sums = np.zeros(len(idf))
+        for batch in batches:
+            for text, term, weight, n in _text_weights(batch.column(0), pa.array(keys, pa.string()), pa.array(codes), idf):
+                length = np.sqrt(np.bincount(text, weight * weight, n))
+                sums += np.bincount(term, weight / length[text], len(idf))
+        held = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(sums[held])], ["term_index", "total"])
+
+    parts = df.select(term_words(F.col(text_col)).alias("words")).mapInArrow(run, "term_index long, total double")
+    means = parts.groupBy(F.col("term_index").cast("int").alias("term_index")).agg((F.sum("total") / n_rows).alias("mean_weight"))
     return means.join(model.index(), "term_index").select("term", "term_index", "mean_weight")
 
 
+def _text_weights(texts: pa.ListArray, keys: pa.Array, codes: pa.Array, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """``(text, term, weight, texts)``, whole texts at a time: count x idf of every kept term of a text."""
+    for found, text, n in _coded(texts, keys):
+        term = pc.fill_null(pc.index_in(pa.array(found), codes), -1).to_numpy().astype(np.int64)
+        cells = np.sort(text[term >= 0] * len(idf) + term[term >= 0])
+        starts = np.flatnonzero(np.diff(cells, prepend=-1))
+        text, term = np.divmod(cells[starts], len(idf))
+        yield text, term, np.diff(np.append(starts, len(cells))) * idf[term], n
+
+
 def centroid_cosine(df: DataFrame, model: TfidfModel, mean: DataFrame, text_col: str, out_col: str = "cos_tfidf_mean") -> DataFrame:
     """Cosine of each text to a centroid; the centroid has one weight per kept term."""
     weights = [0.0] * len(model.keys)

@@ -77,6 +77,23 @@ def test_centroid_and_norm(df):
         assert one[i] == (1.0 if w else 0.0)
 
 
+@pytest.mark.parametrize("limit", [12, 5000])
+def test_centroid_is_added_up_in_tasks(spark, monkeypatch, limit):
+    monkeypatch.setattr(tfidf, "WORDS_AT_ONCE", 40)
+    pool, rng = ["ab", "cd", "ÄÖ", "x" * 70, "y" * 40, *[f"w{i}" for i in range(30)]], random.Random(6)
+    rows = [(i, " ".join(pool[min(int(rng.expovariate(0.15)), 34)] for _ in range(rng.randrange(60)))) for i in range(50)]
+    df = spark.createDataFrame([*rows, (50, None), (51, ""), *rows[:2]], "article_id bigint, content string").repartition(3)
+    model = tfidf.fit_tfidf(df, "content", max_features=limit)
+    found = tfidf.centroid(df, model, "content")
+    want = Counter()
+    for r in tfidf.unit_weights(df.withColumn("article_id", F.monotonically_increasing_id()), model, "content").collect():
+        want[r.term] += r.weight / 54
+    assert {r.term: r.mean_weight for r in found.collect()} == {t: pytest.approx(x) for t, x in want.items()}
+    assert dict(found.dtypes) == {"term": "string", "term_index": "int", "mean_weight": "double"}
+    # no row per text and term is made
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_unit_weights(df):
     fit = brute(sides=(2,))
     model = tfidf.fit_tfidf(df, "content")
