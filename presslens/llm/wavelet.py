@@ -29,13 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from presslens.llm.files import listed, read_file, write_file
-from presslens.llm.wordids import WordIds
+from presslens.llm.wordids import WordIds, with_closing
 from presslens.session import scratch_path
 
 MAGIC = b"WAVELET1"
@@ -215,7 +214,7 @@ def write_shards(docs: DataFrame, definition: str, path: str, closing: int = 1,
 
         size = 0
         for batch in batches:
-            for ids, counts, at in _with_closing(encoder, batch.column(1), closing, shard):
+            for ids, counts, at in with_closing(encoder, batch.column(1), closing, shard):
                 held.append((batch.column(0).slice(at, len(counts)), counts, ids))
                 size += len(ids)
                 if size >= shard:
@@ -239,19 +238,6 @@ def _encoder(definition: str) -> WordIds:
     return WordIds(definition)
 
 
-def _with_closing(encoder: WordIds, texts: pa.Array, closing: int, about: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(ids, counts, first row) of stretches of rows; every text ends in ``closing``."""
-    lengths = np.cumsum(np.array([0 if t is None else t for t in pc.binary_length(texts).to_pylist()], np.int64) + 1)
-    at = 0
-    while at < len(texts):
-        # about as many bytes as make a shard's ids
-        to = max(int(np.searchsorted(lengths, (lengths[at - 1] if at else 0) + 2 * about, side="right")), at + 1)
-        ids, counts = encoder.flat(texts.slice(at, to - at))
-        upto = np.cumsum(counts)
-        yield np.insert(ids, upto, encoder.dtype.type(closing)), counts + 1, at
-        at = to
-
-
 def read_documents(spark: SparkSession, path: str, before: dict[int, int], id_type: str = "bigint", with_ids: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document from the files; with its ids as bytes on request."""
 

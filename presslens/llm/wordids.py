@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -153,6 +154,19 @@ class WordIds:
         return ids, np.diff(cuts, prepend=0)
 
 
+def with_closing(encoder: WordIds, texts: pa.Array, closing: int, about: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(ids, counts, first row) of stretches of rows; every text ends in ``closing``; a stretch has about ``about`` ids."""
+    lengths = np.cumsum(np.array([0 if t is None else t for t in pc.binary_length(texts).to_pylist()], np.int64) + 1)
+    at = 0
+    while at < len(texts):
+        # about as many bytes as make that many ids
+        to = max(int(np.searchsorted(lengths, (lengths[at - 1] if at else 0) + 2 * about, side="right")), at + 1)
+        ids, counts = encoder.flat(texts.slice(at, to - at))
+        upto = np.cumsum(counts)
+        yield np.insert(ids, upto, encoder.dtype.type(closing)), counts + 1, at
+        at = to
+
+
 def _letters_only(words: pa.Array) -> pa.Array:
     # İ is the one letter whose lower case ends in a mark, which would join those after it
     return pc.and_not(pc.utf8_is_alpha(words), pc.match_substring(words, "İ"))

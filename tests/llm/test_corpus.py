@@ -6,11 +6,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from presslens.llm import components, mixing, neardup, packing, quality, toxicity, urls
+from presslens.llm import components, mixing, neardup, packing, quality, toxicity, urls, wordids
 from presslens.llm.common import ascii_lower, WORD
 from presslens.llm.queries import QUERIES, tokenizer_definition
 
@@ -257,6 +258,21 @@ def test_word_cache_changes_no_id():
         assert np.frombuffer(ids.batch([text])[0], ids.dtype).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_words_in_arrays_change_no_id(monkeypatch):
+    """Many texts at once, long words, odd blanks and special tokens, while known words are forgotten now and then."""
+    monkeypatch.setattr(wordids, "CACHE_WORDS", 40)
+    monkeypatch.setattr(packing, "WORDS_AT_ONCE", 7)
+    tokenizer = Tokenizer.from_str(tokenizer_definition())
+    ids, rng = packing.Ids(tokenizer_definition()), random.Random(5)
+    parts = [*" '.,sd1\n", "ab", "re. ", "ré ", "x" * 70 + " ", " 日", "\u00a0", "\x85", "<|endoftext|>", " "]
+    for _ in range(60):
+        texts = [None, *("".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(30)), ""]
+        flat, counts = ids.flat(pa.array(texts))
+        want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert counts.tolist() == list(map(len, want)) and flat.tolist() == sum(want, [])
+    assert packing._encoder(tokenizer_definition()) is packing._encoder(tokenizer_definition())
+
+
 # ---- mixing ----
 
 
