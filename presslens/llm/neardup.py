@@ -320,24 +320,28 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", _linked(percent)("x", "y").alias("linked"))
 
 
-def _nearest_first(pairs: DataFrame, k: int) -> DataFrame:
-    """Pairs among the ``k`` nearest of either text."""
+def _turns(pairs: DataFrame) -> DataFrame:
+    """(a, b, turn): every pair's place among the pairs of either text, nearest first; the lower of the two."""
     both = pairs.select("a", "b", "far", F.explode(F.array("a", "b")).alias("u"))
-    turn = F.row_number().over(Window.partitionBy("u").orderBy("far", "a", "b"))
-    return both.withColumn("turn", turn).where(F.col("turn") <= k).select("a", "b").distinct()
+    place = F.row_number().over(Window.partitionBy("u").orderBy("far", "a", "b"))
+    return both.withColumn("turn", place).groupBy("a", "b").agg(F.min("turn").alias("turn"))
 
 
 def links(pairs: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Confirmed links and their components (node, component)."""
+    """Confirmed links and their components (node, component).
+
+    Pairs are ranked once; a round takes those up to place ``k`` that are still apart, proposals first.
+    """
     spark = pairs.sparkSession
-    left, n_left = pairs, pairs.count()
+    n_left = pairs.count()
+    left = saved(_turns(together(pairs, n_left)), "turns")
     found = checked = None
     n_checked = 0
     labels = spark.createDataFrame([], "node long, component long")
     k = 1
     while True:
         left = together(left, n_left)
-        batch = saved(confirmed(_nearest_first(left, k), texts, percent), "checked")
+        batch = saved(confirmed(left.where(F.col("turn") <= k).select("a", "b"), texts, percent), "checked")
         n_batch = batch.count()
         n_checked += n_batch
         batch = together(batch, n_batch)
@@ -351,23 +355,23 @@ def links(pairs: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame,
         hubs = _sent(hubs, labels)  # a large component's proposals then stay where they are
         # a failed pair proposes two at most
         proposed = together(left.unionByName(_proposals(batch.where("not linked"), labels, hubs)), n_left + 2 * n_batch)
-        proposed = proposed.groupBy("a", "b").agg(F.min("far").alias("far")).join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        proposed = proposed.groupBy("a", "b").agg(F.min("turn").alias("turn")).join(checked.select("a", "b"), ["a", "b"], "left_anti")
         for side in "ab":
             own = labels.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
             proposed = proposed.join(own, side, "left")
         apart = F.col("ca").isNull() | F.col("cb").isNull() | (F.col("ca") != F.col("cb"))
-        left = saved(proposed.where(apart).select("a", "b", "far"), "left")
-        n_left = left.count()
+        left = saved(proposed.where(apart).select("a", "b", "turn"), "left")
+        n_left, least = left.agg(F.count("*"), F.min("turn")).first()
         if not n_left:
             return found, labels
-        k *= 4
+        k = max(4 * k, least)
 
 
 def _proposals(failed: DataFrame, labels: DataFrame, hubs: DataFrame) -> DataFrame:
     """For a failed pair, either side with the best linked text of the other side's component."""
     sides = failed.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("node")), F.struct(F.col("b").alias("u"), F.col("a").alias("node")))).alias("p")).select("p.u", "p.node")
     aimed = sides.join(labels, "node").join(hubs, "component").where("u <> hub").select("u", "hub").distinct()
-    return aimed.select(F.least("u", "hub").alias("a"), F.greatest("u", "hub").alias("b"), F.lit(0).cast("long").alias("far"))
+    return aimed.select(F.least("u", "hub").alias("a"), F.greatest("u", "hub").alias("b"), F.lit(0).alias("turn"))
 
 
 # ---- the exact join of marked rows ----

@@ -228,6 +228,34 @@ def test_cascade_is_exact_over_its_universe(spark):
     assert (cascade.listed(hashed["first"].to_numpy(), hashed["second"].to_numpy()) == hashed["y"].to_numpy()).all()
 
 
+def test_pairs_are_ranked_once(spark, monkeypatch):
+    """A chain of texts takes several rounds; each pair is given its place once, the lower of its two."""
+    rows, pairs = [], []
+    for i in range(12):
+        words = [f"w{j}" if j >= i else f"x{j}" for j in range(200)]
+        rows.append((i, " ".join(words)))
+        pairs += [(i, j, 10 * (j - i)) for j in range(i + 1, 12)]
+    pairs = spark.createDataFrame(pairs, "a long, b long, far long")
+    turns = {(r.a, r.b): r.turn for r in neardup._turns(pairs).collect()}
+    assert turns[0, 1] == 1 and turns[0, 2] == 2 and turns[0, 11] == 11 and turns[5, 6] == 1 and len(turns) == 66
+    ranked, first = [], neardup._turns
+    monkeypatch.setattr(neardup, "_turns", lambda p: ranked.append(p.count()) or first(p))
+    found, labels = neardup.links(pairs, spark.createDataFrame(rows, "id long, text string"), 95)
+    got = dict(labels.collect())
+    want = slow_components_at(rows, 95)
+    assert ranked == [66] and all(got.get(i, i) == c for i, c in want.items()) and set(want.values()) == {0}
+
+
+def slow_components_at(rows, percent):
+    sets, parts = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
+    for a in sets:
+        for b in sets:
+            if parts[a] != parts[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                low, high = sorted((parts[a], parts[b]))
+                parts = {i: low if c == high else c for i, c in parts.items()}
+    return parts
+
+
 # ---- packing ----
 
 
