@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +43,15 @@ REACH = WINDOW + 1
 NEAREST = 4
 SKETCH_SPREADS = 5.5
 ROWS_PER_TASK = 2000
-BROADCAST_IDS = 500_000
+BROADCAST_IDS = 1_000_000
 CHUNK_BYTES = 1_000_000
 SAMPLE_ROWS = 4000
 COMMON_SHINGLES = 500_000
 SALT_ROWS = 512
 BLOCK_ROWS = 1024
+# One byte counts the texts of all shingles whose hashes begin alike: at most 64 MB.
+SLOT_BITS = 26
+SLOT_CHUNKS = 1024
 
 _RNG = np.random.default_rng(20240)
 _TABLE = _RNG.integers(0, 2**64, 256, np.uint64)
@@ -314,10 +318,14 @@ def _linked(percent: int):
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (a, b) with ``linked``: 100 * common shingles >= percent * all shingles of both."""
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", _linked(percent)("x", "y").alias("linked"))
+    """Written ``pairs`` (a, b) with ``linked``: 100 * common shingles >= percent * all shingles of both.
+
+    The pairs go to the texts, so no text is moved but those of a pair.
+    """
+    pairs = _sent(pairs, pairs)
+    left = texts.select(F.col("id").alias("a"), F.col("text").alias("x")).join(pairs, "a")
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("y")).join(pairs.select("b"), "b", "left_semi")
+    return left.join(right, "b").select("a", "b", _linked(percent)("x", "y").alias("linked"))
 
 
 def _turns(pairs: DataFrame) -> DataFrame:
@@ -402,24 +410,72 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return values[order], often.column("count").to_numpy()[order]
 
 
+def _added(key: tuple, rows: pa.Table) -> pa.Table:
+    total = np.zeros(len(rows["counts"][0].as_py()), np.uint64)
+    for counts in rows["counts"]:
+        total += np.frombuffer(counts.as_py(), np.uint8)
+    return pa.table({"chunk": [key[0].as_py()], "counts": [np.minimum(total, 255).astype(np.uint8).tobytes()]})
+
+
+def _slots(texts: DataFrame) -> np.ndarray:
+    """How many ``texts`` have a shingle of each slot, counted up to 255: no less than how many have any one of its shingles."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(SLOT_BITS, max(16, (size // 4).bit_length()))
+    per_chunk = 2**bits // SLOT_CHUNKS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, counts = Shingler(), np.zeros(2**bits, np.uint8)
+        for batch in batches:
+            for sets in _several(shingler.sets(batch.column(0).fill_null(""))):
+                slot, n = np.unique(sets >> np.uint64(64 - bits), return_counts=True)
+                counts[slot] = np.minimum(counts[slot] + n, 255)
+        for chunk in np.flatnonzero(counts.reshape(SLOT_CHUNKS, -1).any(1)):
+            part = counts[chunk * per_chunk : (chunk + 1) * per_chunk]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([part.tobytes()])], ["chunk", "counts"])
+
+    fields = "chunk long, counts binary"
+    out = np.zeros(2**bits, np.uint8)
+    for chunk, counts in texts.select("text").mapInArrow(count, fields).groupBy("chunk").applyInArrow(_added, fields).collect():  # 2**bits bytes, whatever the rows
+        out[chunk * per_chunk : (chunk + 1) * per_chunk] = np.frombuffer(counts, np.uint8)
+    return out
+
+
+def _several(sets: Iterator[np.ndarray], entries: int = 500_000) -> Iterator[np.ndarray]:
+    """Sets one after the other, about ``entries`` at once."""
+    held, n = [], 0
+    for s in sets:
+        held.append(s)
+        n += len(s)
+        if n >= entries:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
 def _prefixes(texts: DataFrame, percent: int) -> DataFrame:
     """(s, id, component, n, place): of every text the shingles one of which any linked text must share.
 
-    The order is one for all texts, rare shingles first; which sample it comes from does not
-    change the result, only how many pairs are counted.
+    The order is one for all texts, rare shingles first: by the count of their slots, which sees
+    shingles of a few texts among millions too, then by a sample that tells the frequent ones apart.
+    It does not change the result, only how many pairs are counted. A shingle alone in its slot is in
+    one text and gets no row.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(_common(texts))
+    shared = texts.sparkSession.sparkContext.broadcast((*_common(texts), _slots(texts)))
 
     def prefix(i: int, c: int, s: np.ndarray):
-        known, counts = shared.value
+        known, counts, slots = shared.value
+        seen = slots[s >> np.uint64(64 - (len(slots).bit_length() - 1))]
         n = len(s)
         often = np.zeros(n, np.int64)
         if len(known):
             at = np.minimum(np.searchsorted(known, s), len(known) - 1)
             often = np.where(known[at] == s, counts[at], 0)
         k = n - -(-percent * n // 100) + 1
-        first = s[np.lexsort((s, often))[:k]].view(np.int64)
-        return first, np.full(k, i), np.full(k, c), np.full(k, n), np.arange(k)
+        first = np.lexsort((s, often, seen))[:k]
+        place = np.flatnonzero(seen[first] > 1)
+        k = len(place)
+        return s[first[place]].view(np.int64), np.full(k, i), np.full(k, c), np.full(k, n), place
 
     return _shingle_rows(texts, "prefixes", prefix, "s long, id long, component long, n long, place long")
 
@@ -450,9 +506,29 @@ def _counted(percent: int):
     return run
 
 
-def _sent(df: DataFrame, bound: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if the written table ``bound``, which has no fewer rows, is counted to be small."""
-    return F.broadcast(df) if bound.count() <= BROADCAST_IDS else df
+def _sent(df: DataFrame, bound: DataFrame, times: int = 1) -> DataFrame:
+    """``df`` marked for broadcast if the written table ``bound``, which has no fewer rows (``times`` over), is counted to be small."""
+    return F.broadcast(df) if times * bound.count() <= BROADCAST_IDS else df
+
+
+def gathered(rows: DataFrame, asked: DataFrame, name: str) -> DataFrame:
+    """``rows`` (id, ...) of the ids of the written table ``asked``, with its other columns, written.
+
+    Rows stay where they lie: the ids go to them, in as many slices, each with a pass of its own over the rows, as fit a broadcast.
+    """
+    slices = max(1, -(-asked.count() // BROADCAST_IDS))
+    own = F.pmod(F.xxhash64("id"), F.lit(slices))
+    parts = [saved(rows.join(F.broadcast(asked.where(own == k) if slices > 1 else asked), "id"), name) for k in range(slices)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def without(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """``rows`` but for those whose ``key`` the written table ``ids`` has; rows stay where they lie, ids go to them in slices."""
+    slices = max(1, -(-ids.count() // BROADCAST_IDS))
+    own = F.pmod(F.xxhash64(key), F.lit(slices))
+    for k in range(slices):
+        rows = rows.join(F.broadcast(ids.where(own == k) if slices > 1 else ids), key, "left_anti")
+    return rows
 
 
 def _sides(df: DataFrame, keys: list[str], fields: list[str]) -> list[DataFrame]:
@@ -501,13 +577,29 @@ def open_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 def exact_links(texts: DataFrame, percent: int) -> DataFrame:
     """(a, b): all links between different components of ``texts`` (id, component, text), a under b."""
-    pairs = open_pairs(_prefixes(texts, percent), percent)
-    blocks = max(1, -(-texts.count() // BLOCK_ROWS))
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
-    pairs = saved(pairs.withColumn("p", block("a")).withColumn("q", block("b")), "open_pairs")
-    asked = pairs.select("p", "q", F.explode(F.array("a", "b")).alias("id")).distinct()
-    asked = asked.join(texts.select("id", "text"), "id").select(F.col("p").alias("own_p"), F.col("q").alias("own_q"), "id", "text")
-    return pairs.groupBy("p", "q").cogroup(asked.groupBy("own_p", "own_q")).applyInArrow(_counted(percent), "a long, b long")
+    pairs = saved(open_pairs(_prefixes(texts, percent), percent), "open_pairs")
+    regions = _regions(pairs)
+    for side in "ab":
+        own = regions.select(F.col("id").alias(side), F.col("block").alias(f"block_{side}"), *(["blocks", "region"] if side == "a" else []))
+        pairs = pairs.join(_sent(own, regions), side)
+    pairs = saved(pairs.select("a", "b", "blocks", "region", F.least("block_a", "block_b").alias("p"), F.greatest("block_a", "block_b").alias("q")), "placed_pairs")
+    keys = ["blocks", "region", "p", "q"]
+    asked = _sent(pairs.select(*keys, F.explode(F.array("a", "b")).alias("id")).distinct(), pairs, 2)
+    asked = texts.select("id", "text").join(asked, "id").select(*[F.col(c).alias(f"own_{c}") for c in keys], "id", "text")
+    return pairs.groupBy(*keys).cogroup(asked.groupBy(*[f"own_{c}" for c in keys])).applyInArrow(_counted(percent), "a long, b long")
+
+
+def _regions(pairs: DataFrame) -> DataFrame:
+    """(id, blocks, region, block): texts that hang together by ``pairs`` (a, b) have one region, cut into blocks where it is large; small ones share a number.
+
+    Pairs lie within a region, so a text is sent to its few blocks and not along with each of its pairs.
+    """
+    labels = saved(components(pairs), "regions")
+    sizes = labels.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    shared = F.pmod(F.xxhash64("component"), F.lit(max(1, -(-labels.count() // BLOCK_ROWS))))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    region = F.when(F.col("blocks") == 1, shared).otherwise(F.col("component"))
+    return saved(labels.join(sizes, "component").select(F.col("node").alias("id"), "blocks", region.alias("region"), block.alias("block")), "blocks")
 
 
 def text_key(text: str) -> Column:
@@ -528,18 +620,25 @@ def _keyed(classes: DataFrame, mixed: DataFrame) -> DataFrame:
     return own.join(moved, "digest", "left").withColumn("id", F.coalesce("moved", "id")).drop("moved")
 
 
-def _texts(named: DataFrame, features: DataFrame, classes: DataFrame, mixed: DataFrame, needed: DataFrame) -> DataFrame:
-    """(id, text): one text of every class of ``needed`` (id)."""
-    asked = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
-    source = named.select(F.col("doc_id").alias("id"), "text").join(asked, "id", "left_semi")
+def _texts(named: DataFrame, features: DataFrame, classes: DataFrame, repeated: DataFrame, mixed: DataFrame, needed: DataFrame) -> DataFrame:
+    """(id, text): one text of every class of ``needed`` (id); only texts of ids that come again (``repeated``) are put side by side."""
+    asked = needed.withColumn("again", F.lit(False))
+    if not repeated.isEmpty():
+        again = repeated.select(F.col("doc_id").alias("id"), F.lit(True).alias("again"))
+        asked = saved(needed.join(again, "id", "left").select("id", F.coalesce("again", F.lit(False)).alias("again")), "asked")
+    source = gathered(named.select(F.col("doc_id").alias("id"), "text"), asked, "gathered")
+    texts = source.where("not again").select("id", "text")
+    if repeated.isEmpty():
+        return texts
+    several = source.where("again").select("id", "text").join(mixed.withColumnRenamed("doc_id", "id"), "id", "left_anti")
+    texts = texts.unionByName(saved(several.groupBy("id").agg(F.min("text").alias("text")), "several"))
     if mixed.isEmpty():
-        return source.groupBy("id").agg(F.min("text").alias("text"))
-    plain = source.join(mixed.withColumnRenamed("doc_id", "id"), "id", "left_anti").groupBy("id").agg(F.min("text").alias("text"))
+        return texts
     # the least document of a class stands for it, by whichever of that id's texts is of the class
-    wanted = classes.join(asked, "id", "left_semi").join(mixed, "doc_id", "left_semi").select("id", "digest", F.col("doc_id").alias("least"))
+    wanted = classes.join(_sent(needed, needed), "id", "left_semi").join(mixed, "doc_id", "left_semi").select("id", "digest", F.col("doc_id").alias("least"))
     chosen = features.join(wanted, "digest").where("doc_id = least").groupBy("id", "doc_id").agg(F.min("text_sha256").alias("text_sha256"))
     odd = named.join(saved(chosen, "chosen"), ["doc_id", "text_sha256"]).groupBy("id").agg(F.min("text").alias("text"))
-    return plain.unionByName(odd)
+    return texts.unionByName(saved(odd, "odd"))
 
 
 def _named(classes: DataFrame, labels: DataFrame, mixed: DataFrame) -> DataFrame:
@@ -571,16 +670,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     best = F.min(F.struct("doc_id", "n", "signature", "sketch")).alias("c")
     classes = known.groupBy("digest").agg(best).select("digest", "c.doc_id", "c.n", "c.signature", "c.sketch")
     some = F.coalesce("digest", F.lit(b""))
-    per_id = features.where("doc_id is not null").groupBy("doc_id").agg(F.min(some).alias("low"), F.max(some).alias("high"))
-    mixed = saved(per_id.where("low <> high").select("doc_id"), "mixed")
+    per_id = features.where("doc_id is not null").groupBy("doc_id").agg(F.min(some).alias("low"), F.max(some).alias("high"), F.count("*").alias("rows"))
+    repeated = saved(per_id.where("rows > 1").select("doc_id", (F.col("low") != F.col("high")).alias("mixed")), "repeated")
+    mixed = repeated.where("mixed").select("doc_id")
     classes = saved(_keyed(classes, mixed), "classes")
     pairs, marked = (saved(x, name) for x, name in zip(candidates(classes, percent / 100), ("candidates", "marked")))
     needed = saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(marked).distinct(), "needed")
-    texts = saved(_texts(named, features, classes, mixed, needed), "texts")
+    texts = _texts(named, features, classes, repeated, mixed, needed)
     found, labels = links(pairs, texts, percent)
     own = labels.withColumnRenamed("node", "id")
-    open_texts = texts.join(marked, "id").join(own, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    more = saved(exact_links(saved(open_texts, "open_texts"), percent), "exact_links")
+    open_ids = saved(marked.join(own, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "open_ids")
+    more = saved(exact_links(gathered(texts, open_ids, "open_texts"), percent), "exact_links")
     if not more.isEmpty():
         labels = saved(components(found.union(more)), "labels")
     by_class = _named(classes, labels, mixed)
