@@ -29,8 +29,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         same = (rows["doc_id"].cast("long") == keys["_doc"]) & neardup.text_key("text").eqNullSafe(keys["_sha"])
         return rows.join(keys, same, how)
 
-    left = among(docs, saved(neardup.surplus(found), "surplus"), "left_anti")
     named = found.where(F.col("doc_id").isNotNull())
+    surplus = saved(neardup.surplus(found), "surplus")
+    of_id = named.groupBy("doc_id").agg(F.min("text_sha256").alias("low"), F.max("text_sha256").alias("high"))
+    several = saved(of_id.where("low <> high").select("doc_id"), "several")
+    # where an id has one text the id tells what goes, so no text is moved for it
+    ids = saved(surplus.join(several, "doc_id", "left_anti").select(F.col("doc_id").alias("_id")), "surplus_ids")
+    left = neardup.without(docs.withColumn("_id", F.col("doc_id").cast("long")), ids, "_id").select(docs.columns)
+    if not several.isEmpty():
+        left = among(left, saved(surplus.join(several, "doc_id", "left_semi"), "surplus_of_several"), "left_anti")
     again = saved(named.groupBy("doc_id", "text_sha256").count().where("count > 1"), "repeated")
     if again.isEmpty():
         return left
