@@ -49,8 +49,8 @@ SAMPLE_ROWS = 4000
 COMMON_SHINGLES = 500_000
 SALT_ROWS = 512
 BLOCK_ROWS = 1024
-# One byte counts the texts of all shingles whose hashes begin alike: at most 64 MB.
-SLOT_BITS = 26
+# One byte counts the texts of all shingles whose hashes begin alike: at most 32 MB.
+SLOT_BITS = 25
 SLOT_CHUNKS = 1024
 
 _RNG = np.random.default_rng(20240)
